@@ -37,8 +37,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of one Arrow batch, so that long texts do not swell the Python workers.
+BATCH_ROWS = 1000
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id long, text string)`` with nulls in the text as empty; other columns are pruned at the scan."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

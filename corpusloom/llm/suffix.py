@@ -45,9 +45,9 @@ GRAM = 32
 #: Runs of one bucket that one task sorts together.
 BLOCK = 4096
 #: Window starts handled at once; longer texts are cut with an overlap.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Suffixes sorted at once.
-CHUNK = 250_000
+CHUNK = 100_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -56,30 +56,28 @@ def _mixed(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
-def _doubled(h: np.ndarray, width: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Hash of the ``width`` bytes from each place, by doubling; width is made of powers of two."""
-    have, at = {1: h}, 1
-    while at * 2 <= width:
-        a = have[at]
-        nxt = a[: max(0, len(a) - at)] * _ODD[at.bit_length() % 8]
-        nxt ^= nxt >> np.uint64(29)
-        nxt += a[at:]
-        have[at * 2], at = nxt, at * 2
-    return have[at], have
+def _doubled(h: np.ndarray, at: int) -> np.ndarray:
+    """Hashes of the ``2 * at`` bytes from each place out of those of ``at`` bytes."""
+    out = h[: max(0, len(h) - at)] * _ODD[at.bit_length() % 8]
+    out ^= out >> np.uint64(29)
+    out += h[at:]
+    return out
 
 
 def window_hash(data: np.ndarray, width: int) -> np.ndarray:
     """64-bit hash of each window of ``width`` bytes."""
     if len(data) < width:
         return np.zeros(0, np.uint64)
-    full, have = _doubled(_mixed(data), width)
-    at, out = 0, None
     n = len(data) - width + 1
-    for bit in sorted(have, reverse=True):
-        if at + bit <= width:
-            part = have[bit][at : at + n]
-            out = part.copy() if out is None else (out * _ODD[7] ^ (out >> np.uint64(31))) + part
+    part, bit, at, out = _mixed(data), 1, 0, None
+    while bit <= width:
+        if width & bit:
+            own = part[at : at + n]
+            out = own.copy() if out is None else (out * _ODD[7] ^ (out >> np.uint64(31))) + own
             at += bit
+        if bit * 2 <= width:
+            part = _doubled(part, bit)
+        bit *= 2
     return out
 
 
@@ -88,8 +86,10 @@ def anchor_runs(data: np.ndarray, width: int = MIN_BYTES, gram: int = GRAM) -> t
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = _doubled(_mixed(data), gram)[0]
-    h = h * _ODD[5]
+    h, at = _mixed(data), 1
+    while at < gram:
+        h, at = _doubled(h, at), at * 2
+    h *= _ODD[5]
     h ^= h >> np.uint64(32)
     low = np.uint64((1 << 24) - 1)
     best = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -257,8 +257,8 @@ def bucket_groups(texts_: list[bytes], starts: np.ndarray, bucket: np.ndarray, f
     if len(order) > 1:
         head = np.lib.stride_tricks.sliding_window_view(flat, floor)
         equal = p[1:] == p[:-1]
-        for lo in range(0, len(equal), 65536):  # the hash proposes, the bytes decide
-            hi = min(lo + 65536, len(equal))
+        for lo in range(0, len(equal), 16384):  # the hash proposes, the bytes decide
+            hi = min(lo + 16384, len(equal))
             equal[lo:hi] &= (head[place[order[lo + 1 : hi + 1]]] == head[place[order[lo:hi]]]).all(axis=1)
         unlike = tail[1:] != tail[:-1]
         more = np.where(unlike.any(axis=1), unlike.argmax(axis=1), cap - floor)
@@ -369,10 +369,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     each = scanned.filter("digest is not null").select("id", "digest", "n_bytes")
     alike = each.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("leader"))
     digests = stored(each.join(alike, "digest").select("id", "digest", "n_bytes", "copies", (F.col("id") == F.col("leader")).alias("leads")), "digests")
-    runs = scanned.filter("key is not null").select("id", "start", "n", "key")
+    runs = scanned.filter("key is not null").select("id", (F.shiftleft("start", 8) + F.col("n")).alias("run"), "key")
     twice = runs.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
     k = F.ceil(F.col("times") / block).cast("int")
-    hit = runs.join(twice, "key").select("id", F.struct("start", "n", "key", F.pmod(F.xxhash64("id"), k).cast("int").alias("block"), (k > 1).alias("cut")).alias("run"))
+    hit = runs.join(twice, "key").select("id", F.struct(F.shiftright("run", 8).alias("start"), F.col("run").bitwiseAND(255).cast("int").alias("n"), "key", F.pmod(F.xxhash64("id"), k).cast("int").alias("block"), (k > 1).alias("cut")).alias("run"))
     by_text = hit.groupBy("id").agg(F.collect_list("run").alias("runs"))
     lead = digests.filter("leads").select("id", "copies")
     held = source.mapInArrow(_squeezed, "id long, z binary").join(by_text.join(lead, "id"), "id")

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import simhash, suffix
+from corpusloom.llm import packing, quality, simhash, suffix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_simhash": simhash.op6_simhash,
     "op8_suffix_array": suffix.op8_suffix_array,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.SQL,
+}

@@ -450,3 +450,23 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.sha2(F.lit(b""), 256)
     kept = F.when(F.col("n_removed") == 0, F.lower(F.hex("digest"))).when(F.col("rest").isNull(), gone).otherwise(F.sha2("rest", 256))
     return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"))
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """The documents without repeats, with their columns; ``n_chars`` follows where it is there.
+
+    A character of which only a part is repeated goes with the repeat.
+    """
+    done = without_repeats(docs).select(F.col("id").alias("_id"), "rest", ((F.col("n_removed") > 0) & F.col("rest").isNull()).alias("_gone")).filter("rest is not null or _gone")
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [None if x is None else x.decode("utf-8", "ignore") for x in b["rest"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["_id"], b["_gone"], pa.array(text, pa.string())], ["_id", "_gone", "_text"])
+
+    changed = done.mapInArrow(plain, "_id long, _gone boolean, _text string")
+    text = F.when(F.col("_gone"), F.lit("")).otherwise(F.coalesce("_text", "text"))
+    out = docs.join(changed, docs.doc_id == F.col("_id"), "left").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

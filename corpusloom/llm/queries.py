@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import packing, quality, simhash, suffix, toxicity
+from corpusloom.llm import chat, packing, quality, simhash, suffix, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_simhash": simhash.op6_simhash,
     "op8_suffix_array": suffix.op8_suffix_array,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": chat.SQL,
     "op2_quality_rules": quality.SQL,
+    "op4_exact_top_k": topk.SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, packing, quality, simhash, suffix, topk, toxicity
+from corpusloom.llm import chat, packing, pieces, quality, simhash, suffix, topk, toxicity, warc, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,7 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_simhash": simhash.op6_simhash,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_suffix_array": suffix.op8_suffix_array,
+    "op9_warc": warc.op9_warc,
+    "op10_html_wrapper": wrapper.op10_html_wrapper,
 }
 
 ORACLE_SQL: dict[str, str] = {

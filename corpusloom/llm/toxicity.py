@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import spread, table, texts
+from corpusloom.llm.common import spread, stored, table, texts
 
 BITS = 18
 SIZES = (3, 4, 5, 6)
@@ -36,6 +36,8 @@ TRAIN_ROWS = 4000
 #: Buckets that may have a weight.
 FEATURES = 1 << 14
 FOLDS = 5
+#: Tasks that count the labelled rows' features.
+PARTS = 8
 #: Bytes of text turned to features at once.
 PIECE = 1 << 18
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F), np.uint32(0x165667B1), np.uint32(0x2C1B3C6D))
@@ -104,44 +106,58 @@ class Model:
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of one text and how often each occurs."""
-    counts = np.zeros(1 << BITS, np.int64)
+    parts = []
     for _, held in _pieces([text]):
         data, starts = held[0]
-        for _, slot in _slots(np.frombuffer(data, np.uint8)):
-            counts += np.bincount(slot[:starts], minlength=1 << BITS)
-    found = np.flatnonzero(counts)
-    return found.astype(np.int32), np.minimum(counts[found], 1 << 30).astype(np.int32)
+        parts += [np.unique(slot[:starts], return_counts=True) for _, slot in _slots(np.frombuffer(data, np.uint8))]
+    found, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    counts = np.bincount(back, np.concatenate([p[1] for p in parts]) if parts else None, len(found))
+    return found.astype(np.int32), np.minimum(counts, 1 << 30).astype(np.float32)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4, smooth: float = 1.0) -> Model:
-    """Fit on (buckets, occurrences) of each row."""
-    size = 1 << BITS
-    labels = np.asarray(labels, np.float64)
-    if not 0 < labels.sum() < len(labels):
-        odds = np.clip(labels.mean() if len(labels) else 0.0, 1e-6, 1 - 1e-6)
-        return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), float(np.log(odds / (1 - odds))))
-    lengths = np.array([len(r[0]) for r in rows])
-    flat = np.concatenate([r[0] for r in rows])
-    times = np.concatenate([r[1] for r in rows]).astype(np.float32)
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-    toxic = labels[owner] > 0
-    p = smooth + np.bincount(flat[toxic], times[toxic], size)
-    q = smooth + np.bincount(flat[~toxic], times[~toxic], size)
+def counted(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """[3, bucket]: occurrences in toxic texts, in others, and the number of texts."""
+    out = np.zeros((3, 1 << BITS), np.float32)
+    for (slots, times), label in zip(rows, labels, strict=True):
+        out[0 if label else 1, slots] += times
+        out[2, slots] += 1
+    return out
+
+
+def ratios(counts: np.ndarray, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(chosen buckets in order, log-count ratio of each): those whose ratio is most certain."""
+    p, q = counts[0] + np.float64(smooth), counts[1] + np.float64(smooth)
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    # certainty of a ratio; a bucket of one text says nothing of others
     sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    sure[np.bincount(flat, minlength=size) < 3] = 0
+    sure[counts[2] < 3] = 0  # a bucket of one or two texts says nothing of others
     chosen = np.argsort(-sure, kind="stable")[:FEATURES]
-    chosen = chosen[sure[chosen] > 0]
-    column = np.full(size, -1, np.int32)
-    column[chosen] = np.arange(len(chosen), dtype=np.int32)
-    picked = np.zeros(size, np.float32)
-    picked[chosen] = ratio[chosen]
-    keep = column[flat] >= 0
-    flat, owner, times = flat[keep], owner[keep], times[keep]
-    norm = np.sqrt(np.maximum(np.bincount(owner, times * np.square(picked[flat]), len(rows)), 1e-9))
-    value = (times * picked[flat] / norm[owner]).astype(np.float32)
-    col = column[flat]
+    chosen = np.sort(chosen[sure[chosen] > 0])
+    return chosen, ratio[chosen]
+
+
+def narrowed(row: tuple[np.ndarray, np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row's chosen buckets, by their number, and occurrences."""
+    at = np.minimum(np.searchsorted(chosen, row[0]), max(0, len(chosen) - 1))
+    keep = chosen[at] == row[0] if len(chosen) else np.zeros(len(at), bool)
+    return at[keep].astype(np.int32), row[1][keep]
+
+
+def constant(labels: np.ndarray) -> Model:
+    size = 1 << BITS
+    odds = np.clip(labels.mean() if len(labels) else 0.0, 1e-6, 1 - 1e-6)
+    return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), float(np.log(odds / (1 - odds))))
+
+
+def regress(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Model:
+    """Logistic regression on narrowed rows."""
+    labels = np.asarray(labels, np.float64)
+    if not 0 < labels.sum() < len(labels):
+        return constant(labels)
+    col = np.concatenate([r[0] for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    value = np.concatenate([r[1] for r in rows]).astype(np.float32) * ratio[col].astype(np.float32)
+    norm = np.sqrt(np.maximum(np.bincount(owner, value * ratio[col].astype(np.float32), len(rows)), 1e-9)).astype(np.float32)
+    value /= norm[owner]
     w, b = np.zeros(len(chosen)), 0.0
     m, v, mb, vb = np.zeros(len(chosen)), np.zeros(len(chosen)), 0.0, 0.0
     weigh = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
@@ -154,9 +170,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    weight = np.zeros(size, np.float32)
-    weight[chosen] = w * ratio[chosen]
-    return Model(weight, np.square(picked), float(b))
+    weight, square = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    weight[chosen], square[chosen] = w * ratio, np.square(ratio)
+    return Model(weight, square, float(b))
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, **more) -> Model:
+    """Fit on (buckets, occurrences) of each row."""
+    chosen, ratio = ratios(counted(rows, labels))
+    return regress([narrowed(r, chosen) for r in rows], labels, chosen, ratio, **more)
 
 
 def _fold(column: str):
@@ -170,15 +192,27 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     half = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(train_rows // 2) for k in (0, 1)]
     chosen = half[0].union(half[1])  # bounded by train_rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    picked = spread(texts(docs, "doc_id", "text")).join(F.broadcast(chosen), "id").select("id", "text", "toxic")
+    picked = stored(picked.repartition(PARTS, "id"), "labelled")
+
+    def rows_of(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [features((x or "").encode()) for x in b["text"].to_pylist()]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((counted(rows_of(b), b["toxic"].to_pylist()) for b in batches), np.zeros((3, 1 << BITS), np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    parts = picked.mapInArrow(count, "counts binary").toArrow()["counts"]  # PARTS rows of 3 MB at most
+    buckets, ratio = ratios(sum((np.frombuffer(x.as_buffer(), np.float32).reshape(3, -1) for x in parts), np.zeros((3, 1 << BITS), np.float32)))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features((x or "").encode()) for x in b["text"].to_pylist()]
+            got = [narrowed(r, buckets) for r in rows_of(b)]
             yield pa.RecordBatch.from_arrays([b["id"], b["toxic"], *(pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1))], ["id", "toxic", "slots", "times"])
 
-    picked = spread(texts(docs, "doc_id", "text")).join(F.broadcast(chosen), "id").select("id", "text", "toxic")
-    got = picked.mapInArrow(run, "id long, toxic int, slots binary, times binary").toArrow().sort_by([("id", "ascending"), ("slots", "ascending")])
-    rows = [tuple(np.frombuffer(x, np.int32) for x in r) for r in zip(got["slots"].to_pylist(), got["times"].to_pylist(), strict=True)]
-    return fit(rows, got["toxic"].to_numpy())
+    got = picked.mapInArrow(narrow, "id long, toxic int, slots binary, times binary").toArrow().sort_by([("id", "ascending"), ("slots", "ascending")])
+    rows = [(np.frombuffer(x, np.int32), np.frombuffer(y, np.float32)) for x, y in zip(got["slots"].to_pylist(), got["times"].to_pylist(), strict=True)]
+    return regress(rows, got["toxic"].to_numpy(), buckets, ratio)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,217 @@
-"""Registered queries over the test tables, each with its SQL."""
+"""Registered queries over the test tables, each with its SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.functions.stopwords import STOPWORDS
+from corpusloom.operators import analytics, index, search, similarity, suggest, weights
+
+WORD, QUERY, REPEATED, PHRASE = "energy", "thing nicht avec", "thing thing", '"thing ention"'
+RUNS = [(1, 7.22, 7.22), (4, 7.22, 11.48), (8, 100.0, 10.0)]
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.postings(_docs(spark, sf_dir))
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return weights.weights(index.postings(docs), docs)
+
+
+def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.unit(_weights(spark, sf_dir))
+
+
+def _search(query: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _docs(spark, sf_dir)
+        return search.search(weights.weights(index.postings(docs), docs), docs, query)
+
+    return run
+
+
+def _first_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix is a report over the 40 first documents with a weight."""
+    return _weights(spark, sf_dir).select("doc_id").distinct().orderBy("doc_id").limit(40)
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _first_ids(spark, sf_dir)
+    return similarity.matrix(_unit(spark, sf_dir).join(ids, "doc_id", "left_semi"), ids)
+
+
+def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return analytics.insights(docs, weights.keywords(weights.weights(index.postings(docs), docs)))
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return analytics.doc_profiles(index.doc_totals(docs), weights.keywords(weights.weights(index.postings(docs), docs)))
+
+
+def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.above(_unit(spark, sf_dir)).select("doc_id_1", "doc_id_2", F.round("similarity", 4).alias("similarity"))
+
+
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.pairs(_unit(spark, sf_dir)).select("doc_id_1", "doc_id_2", F.round("similarity", 4).alias("similarity"))
+
+
+def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = index.vocabulary(_post(spark, sf_dir))
+    query = "patheticc worthles"
+    return spark.createDataFrame([(query, suggest.suggest(vocab, query))], "query string, suggestion string")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.speedup(spark.createDataFrame(RUNS, "processes int, sequential_ms double, parallel_ms double"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    pair = rows.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("before"))
+    return rows.join(pair, "vec_id").select("vec_id", F.round(similarity.dense(F.col("embedding"), F.col("before")), 6).alias("cosine"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.named_like(_docs(spark, sf_dir), "DOC_1[0-9]$").select("doc_id", "doc_name")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "tokens_per_doc": lambda s, d: index.tokenised(_docs(s, d)).select("doc_id", F.array_join("terms", " ").alias("tokens")),
+    "keep_numbers_tokens": lambda s, d: index.tokenised(_docs(s, d), keep_numbers=True).select("doc_id", F.array_join("terms", " ").alias("tokens")),
+    "custom_stopwords": lambda s, d: index.tokenised(_docs(s, d), more_stopwords=["Thing", "ention"]).select("doc_id", F.array_join("terms", " ").alias("tokens")),
+    "postings": _post,
+    "positions": lambda s, d: index.positions(_docs(s, d)).select("doc_id", "term", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions")),
+    "vocabulary": lambda s, d: index.vocabulary(_post(s, d)),
+    "terms_sorted": lambda s, d: index.terms_sorted(_post(s, d)),
+    "inverted_index": lambda s, d: index.inverted(_post(s, d)).select("term", F.array_join(F.transform("doc_ids", lambda p: p.cast("string")), ",").alias("doc_ids")),
+    "posting_lists": lambda s, d: index.posting_lists(_post(s, d)).select("term", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings")),
+    "corpus_totals": lambda s, d: index.corpus_totals(_docs(s, d)),
+    "doc_stats": lambda s, d: index.doc_totals(_docs(s, d)).withColumn("density", F.round("density", 6)),
+    "doc_profiles": _profiles,
+    "top_words_50": lambda s, d: index.top_words(_post(s, d)),
+    "top_counts_200": lambda s, d: index.top_counts(_post(s, d)),
+    "top_terms_per_doc_50": lambda s, d: index.top_terms_per_doc(_post(s, d)),
+    "tfidf_weights": lambda s, d: _weights(s, d).withColumn("tfidf", F.round("tfidf", 6)),
+    "keywords_10": lambda s, d: weights.keywords(_weights(s, d)),
+    "scores_20": lambda s, d: weights.keywords(_weights(s, d), 20),
+    "wordcloud_global": lambda s, d: weights.word_cloud(weights.keywords(_weights(s, d))),
+    "search_single": _search("Pathetic"),
+    "search_multi": _search(QUERY),
+    "search_repeated_term": _search(REPEATED),
+    "search_phrase_and": _search(PHRASE),
+    "search_no_match": _search("zzzz"),
+    "index_lookup": lambda s, d: index.lookup(_post(s, d), "thing"),
+    "index_and": lambda s, d: index.search_and(_post(s, d), ["thing", "ention", "thing"]),
+    "index_or": lambda s, d: index.search_or(_post(s, d), ["thing", "ention", "thing", "zzzz"]),
+    "document_frequency": lambda s, d: index.document_frequency(_post(s, d), "thing"),
+    "similarity_pairs": _overlap,
+    "top_similar_10": lambda s, d: similarity.top_similar(_unit(s, d)),
+    "near_duplicates_090": _duplicates,
+    "similarity_matrix_small": _matrix,
+    "dense_cosine": _vectors,
+    "importance_ranking": lambda s, d: analytics.importance(_weights(s, d)),
+    "insights": _insights,
+    "kpi_totals": lambda s, d: analytics.kpis(index.doc_totals(_docs(s, d))),
+    "graph_edges": lambda s, d: analytics.graph_edges(similarity.top_similar(_unit(s, d))),
+    "graph_layout": lambda s, d: analytics.graph_layout(_weights(s, d).select("doc_id").distinct()),
+    "name_filter": _names,
+    "preview_200": lambda s, d: _docs(s, d).select("doc_id", T.preview(F.col("text")).alias("preview"), T.kilobytes(F.octet_length("text")).alias("kb")),
+    "viewer": lambda s, d: analytics.viewer(_docs(s, d), "doc_7").select("doc_id", "doc_name", "text"),
+    "valid_docs": lambda s, d: _docs(s, d).select("doc_id", "doc_name"),
+    "speedup_metrics": _runs,
+    "topics": lambda s, d: analytics.detect_topics(weights.keywords(_weights(s, d))),
+    "clusters": lambda s, d: analytics.star_clusters(similarity.top_similar(_unit(s, d))),
+    "spell_suggest": _suggest,
+}
+
+
+def _chain(numbers: bool = False, more: tuple[str, ...] = ()) -> str:
+    plain = f"regexp_replace(translate(text, '{T.UPPER}', '{T.LOWER}'), '[^A-Za-z0-9 \\t\\n\\x0B\\f\\rÁ-Üá-ü]', ' ', 'g')"
+    clean = plain if numbers else f"regexp_replace({plain}, '[0-9]', '', 'g')"
+    stop = ", ".join(f"'{w}'" for w in [*STOPWORDS, *more])
+    return (
+        f"docs AS (SELECT doc_id, 'doc_' || doc_id AS doc_name, text FROM documents WHERE doc_id >= 0 AND text <> ''), stop AS (SELECT [{stop}] AS s), "
+        f"tok AS (SELECT doc_id, list_filter(string_split_regex({clean}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '' AND octet_length(encode(w)) >= 2 AND NOT list_contains(s, w)) AS terms FROM docs, stop)"
+    )
+
+
+_POST = _chain() + ", post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM tok) GROUP BY ALL)"
+_TOTALS = _POST + ", tot AS (SELECT doc_id, doc_name, CAST(len(terms) AS BIGINT) AS total, CAST(len(list_distinct(terms)) AS BIGINT) AS unique_terms FROM docs JOIN tok USING (doc_id))"
+_W = (
+    _TOTALS + ", n AS (SELECT count(*) AS n FROM docs), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), mx AS (SELECT doc_id, max(tf) AS mx FROM post GROUP BY doc_id), "
+    "w AS (SELECT doc_id, term, tf, (0.5 + CAST(0.5 AS DOUBLE) * tf / mx) * log10(n / df) AS tfidf FROM post JOIN df USING (term) JOIN mx USING (doc_id), n)"
+)
+_KEYS = _W + ", keys AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(tfidf, 6) DESC, term) AS INTEGER) AS rank, term, round(tfidf, 6) AS score FROM w)"
+_UNIT = _W + ", u AS (SELECT doc_id, term, tfidf / sqrt(sum(tfidf * tfidf) OVER (PARTITION BY doc_id)) AS u FROM w WHERE tfidf <> 0)"
+_PAIRS = _UNIT + ", pairs AS (SELECT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2, sum(a.u * b.u) AS sim FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)"
+_TOP = _PAIRS + ", top AS (SELECT doc_id_1, doc_id_2, round(sim, 4) AS similarity FROM pairs ORDER BY similarity DESC, doc_id_1, doc_id_2 LIMIT 10)"
+_JOINED = "SELECT doc_id, coalesce(array_to_string(terms, ' '), '') AS tokens FROM tok"
+
+
+def _search_sql(terms: list[str], phrase: bool = False) -> str:
+    q = ", ".join(f"('{t}')" for t in terms)
+    score = "round(sum(tfidf), 6)" if phrase else "round(sum(tfidf) * (1 + 0.5 * count(*)), 6)"
+    having = f"HAVING count(DISTINCT term) = {len(set(terms))}" if phrase else ""
+    limit = "" if phrase else "ORDER BY score DESC, doc_id LIMIT 20"
+    return f"WITH {_W}, q(term) AS (VALUES {q}), r AS (SELECT doc_id, {score} AS score, count(*) AS match_count FROM w JOIN q USING (term) GROUP BY doc_id {having} {limit}) SELECT doc_id, doc_name, score, match_count FROM r JOIN docs USING (doc_id)"
+
+
+_SPEED = ", ".join(f"({p}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for p, a, b in RUNS)
+ORACLE_SQL: dict[str, str] = {
+    "tokens_per_doc": f"WITH {_chain()} {_JOINED}",
+    "keep_numbers_tokens": f"WITH {_chain(True)} {_JOINED}",
+    "custom_stopwords": f"WITH {_chain(more=('thing', 'ention'))} {_JOINED}",
+    "postings": f"WITH {_POST} SELECT doc_id, term, tf FROM post",
+    "positions": f"WITH {_chain()}, x AS (SELECT doc_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS p FROM tok) SELECT doc_id, term, string_agg(p, ',' ORDER BY p) AS positions FROM x GROUP BY ALL",
+    "vocabulary": f"WITH {_POST} SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM post GROUP BY term",
+    "terms_sorted": f"WITH {_POST} SELECT DISTINCT term FROM post",
+    "inverted_index": f"WITH {_POST} SELECT term, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM post GROUP BY term",
+    "posting_lists": f"WITH {_POST} SELECT term, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM post GROUP BY term",
+    "corpus_totals": f"WITH {_W} SELECT n AS total_documents, CAST(coalesce(sum(tf), 0) AS BIGINT) AS total_words, count(DISTINCT term) AS unique_words, round(coalesce(sum(tf), 0) / n, 6) AS avg_length, round(count(DISTINCT term) / sum(tf), 6) AS density FROM post, n GROUP BY n",
+    "doc_stats": f"WITH {_TOTALS} SELECT *, round(CASE WHEN total > 0 THEN unique_terms / total ELSE 0 END, 6) AS density FROM tot",
+    "doc_profiles": f"WITH {_KEYS}, k AS (SELECT doc_id, string_agg(term, ',' ORDER BY rank) AS keywords FROM keys WHERE rank <= 10 GROUP BY doc_id) SELECT *, round(CASE WHEN total > 0 THEN unique_terms / total ELSE 0 END, 6) AS density, round(CASE WHEN total > 0 THEN unique_terms / total ELSE 0 END, 6) AS diversity, coalesce(keywords, '') AS keywords FROM (SELECT tot.* FROM tot) t LEFT JOIN k USING (doc_id)".replace("SELECT *, round", "SELECT doc_id, doc_name, total, unique_terms, round", 1),
+    "top_words_50": f"WITH {_POST}, v AS (SELECT term, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term), t AS (SELECT sum(tf) AS t FROM post) SELECT term, cf, round(cf * 100.0 / CAST(t AS DOUBLE), 4) AS percentage FROM v, t ORDER BY cf DESC, term LIMIT 50",
+    "top_counts_200": f"WITH {_POST} SELECT term, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term ORDER BY cf DESC, term LIMIT 200",
+    "top_terms_per_doc_50": f"WITH {_POST} SELECT doc_id, term, tf FROM post QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) <= 50",
+    "tfidf_weights": f"WITH {_W} SELECT doc_id, term, tf, round(tfidf, 6) AS tfidf FROM w",
+    "keywords_10": f"WITH {_KEYS} SELECT * FROM keys WHERE rank <= 10",
+    "scores_20": f"WITH {_KEYS} SELECT * FROM keys WHERE rank <= 20",
+    "wordcloud_global": f"WITH {_KEYS} SELECT term, round(sum(score), 4) AS weight FROM keys WHERE rank <= 10 GROUP BY term",
+    "search_single": _search_sql(["pathetic"]),
+    "search_multi": _search_sql(["thing", "nicht", "avec"]),
+    "search_repeated_term": _search_sql(["thing", "thing"]),
+    "search_phrase_and": _search_sql(["thing", "ention"], True),
+    "search_no_match": _search_sql(["zzzz"]),
+    "index_lookup": f"WITH {_POST} SELECT doc_id, tf FROM post WHERE term = 'thing'",
+    "index_and": f"WITH {_POST} SELECT doc_id FROM post WHERE term IN ('thing', 'ention') GROUP BY doc_id HAVING count(*) = 2",
+    "index_or": f"WITH {_POST}, q(term) AS (VALUES ('thing'), ('ention'), ('thing'), ('zzzz')) SELECT doc_id, count(*) AS matched FROM post JOIN q USING (term) GROUP BY doc_id",
+    "document_frequency": f"WITH {_POST} SELECT 'thing' AS term, count(*) AS df FROM post WHERE term = 'thing'",
+    "similarity_pairs": f"WITH {_PAIRS} SELECT doc_id_1, doc_id_2, round(sim, 4) AS similarity FROM pairs",
+    "top_similar_10": f"WITH {_TOP} SELECT * FROM top",
+    "near_duplicates_090": f"WITH {_PAIRS} SELECT doc_id_1, doc_id_2, round(sim, 4) AS similarity FROM pairs WHERE round(sim, 9) >= 0.9",
+    "similarity_matrix_small": f"WITH {_PAIRS}, ids AS (SELECT DISTINCT doc_id FROM w ORDER BY doc_id LIMIT 40) SELECT a.doc_id AS i, b.doc_id AS j, round(CASE WHEN a.doc_id = b.doc_id THEN 1.0 ELSE coalesce(sim, 0.0) END, 4) AS similarity FROM ids a CROSS JOIN ids b LEFT JOIN pairs ON doc_id_1 = least(a.doc_id, b.doc_id) AND doc_id_2 = greatest(a.doc_id, b.doc_id)",
+    "dense_cosine": "WITH p AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1) SELECT vec_id, round(CASE WHEN len(x) <> len(y) OR len(x) = 0 OR list_inner_product(x, x) * list_inner_product(y, y) = 0 THEN 0 ELSE list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))) END, 6) AS cosine FROM p",
+    "importance_ranking": f"WITH {_W} SELECT doc_id, round(count(*) + sum(tfidf), 4) AS importance FROM w GROUP BY doc_id",
+    "insights": f"WITH {_KEYS} SELECT doc_id, string_agg(term, ', ' ORDER BY rank) AS topics, translate(substring(any_value(text), 1, 200), chr(10), ' ') || '...' AS preview FROM keys JOIN docs USING (doc_id) WHERE rank <= 5 GROUP BY doc_id",
+    "kpi_totals": f"WITH {_TOTALS} SELECT count(*) AS documents, CAST(coalesce(sum(total), 0) AS BIGINT) AS words, CAST(coalesce(sum(unique_terms), 0) AS BIGINT) AS unique_sum FROM tot",
+    "graph_edges": f"WITH {_TOP} SELECT * FROM top WHERE similarity > 0.1",
+    "graph_layout": f"WITH {_POST}, i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM post)) SELECT doc_id, round(cos(2 * pi() * i / n), 6) AS x, round(sin(2 * pi() * i / n), 6) AS y FROM i",
+    "name_filter": f"WITH {_chain()} SELECT doc_id, doc_name FROM docs WHERE regexp_matches(doc_name, '(?i)DOC_1[0-9]$')",
+    "preview_200": f"WITH {_chain()} SELECT doc_id, translate(substring(text, 1, 200), chr(10), ' ') || '...' AS preview, round(octet_length(encode(text)) / 1024, 1) AS kb FROM docs",
+    "viewer": f"WITH {_chain()} SELECT doc_id, doc_name, text FROM docs WHERE doc_name = 'doc_7'",
+    "valid_docs": f"WITH {_chain()} SELECT doc_id, doc_name FROM docs",
+    "speedup_metrics": f"WITH r(processes, s, p) AS (VALUES {_SPEED}) SELECT CAST(processes AS INTEGER) AS processes, round(s / p, 4) AS speedup, round(s / p / processes, 4) AS efficiency, round(p * processes - s, 4) AS overhead_ms, round(least(greatest(s / p / processes, 0), 1), 4) AS progress FROM r",
+}

@@ -150,17 +150,17 @@ def vocabulary(words: DataFrame, pieces: DataFrame, mode: str = "bpe") -> DataFr
 
 def encode(rows: DataFrame, text_col: str, pieces: DataFrame, mode: str = "bpe") -> DataFrame:
     """The rows with ``ids array<int>`` and ``score double`` in place of other columns than those of ``rows``."""
-    kept = stored(spread(rows).withColumn("_row", F.monotonically_increasing_id()), "texts")
-    split = kept.select("_row", _words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w"))
+    kept = stored(spread(rows).withColumn("__cl_row", F.monotonically_increasing_id()), "texts")
+    split = kept.select("__cl_row", _words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w"))
     known = stored(vocabulary(split.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word"), pieces, mode), "vocabulary")
-    met = split.select("_row", F.posexplode("w").alias("at", "word")).join(known, "word")
-    got = met.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("x"), F.sum("score").alias("score"))
-    got = got.select("_row", F.flatten("x.ids").alias("ids"), "score")
-    out = kept.join(got, "_row", "left")
+    met = split.select("__cl_row", F.posexplode("w").alias("at", "word")).join(known, "word")
+    got = met.groupBy("__cl_row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("x"), F.sum("score").alias("score"))
+    got = got.select("__cl_row", F.flatten("x.ids").alias("ids"), "score")
+    out = kept.join(got, "__cl_row", "left")
     return out.withColumns({"ids": F.coalesce("ids", F.array().cast("array<int>")), "score": F.coalesce("score", F.lit(0.0))})
 
 
-def decode(rows: DataFrame, pieces: DataFrame, row_col: str = "_row") -> DataFrame:
+def decode(rows: DataFrame, pieces: DataFrame, row_col: str = "__cl_row") -> DataFrame:
     """``(row_col, decoded string)`` from rows with ``ids``; unknown ids are skipped."""
     each = rows.select(row_col, F.posexplode("ids").alias("at", "piece_id"))
     met = each.join(F.broadcast(pieces.select("piece_id", F.hex("bytes").alias("hex"))), "piece_id")
@@ -173,6 +173,6 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = piece_table(spark)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     coded = stored(encode(rows, "text", pieces), "encoded")
-    back = coded.join(decode(coded, pieces), "_row", "left")
+    back = coded.join(decode(coded, pieces), "__cl_row", "left")
     text = F.coalesce("text", F.lit(""))
     return back.select("conv_id", "turn", F.size("ids").cast("long").alias("n_tokens"), "score", F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"), (F.coalesce("decoded", F.lit("")) == text).alias("restored"))

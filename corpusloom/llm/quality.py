@@ -104,7 +104,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns as they are (a repeated id stays if a row of it is kept)."""
-    return docs.join(judge(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct(), docs.doc_id == F.col("_kept"), "left_semi")
+    return docs.join(judge(docs).filter("kept").select(F.col("doc_id").alias("__cl_kept")).distinct(), docs.doc_id == F.col("__cl_kept"), "left_semi")
 
 
 SQL = """

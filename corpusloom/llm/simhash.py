@@ -204,5 +204,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaders(docs: DataFrame) -> DataFrame:
     """The documents that lead their group (the least id), with their columns as they are."""
-    found = components(fingerprints(docs)).filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("_id")).distinct()
-    return docs.join(found, docs.doc_id == F.col("_id"), "left_semi")
+    found = components(fingerprints(docs)).filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__cl_id")).distinct()
+    return docs.join(found, docs.doc_id == F.col("__cl_id"), "left_semi")

@@ -457,16 +457,16 @@ def cut(docs: DataFrame) -> DataFrame:
 
     A character of which only a part is repeated goes with the repeat.
     """
-    done = without_repeats(docs).select(F.col("id").alias("_id"), "rest", ((F.col("n_removed") > 0) & F.col("rest").isNull()).alias("_gone")).filter("rest is not null or _gone")
+    done = without_repeats(docs).select(F.col("id").alias("__cl_id"), "rest", ((F.col("n_removed") > 0) & F.col("rest").isNull()).alias("__cl_gone")).filter("rest is not null or __cl_gone")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = [None if x is None else x.decode("utf-8", "ignore") for x in b["rest"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["_id"], b["_gone"], pa.array(text, pa.string())], ["_id", "_gone", "_text"])
+            yield pa.RecordBatch.from_arrays([b["__cl_id"], b["__cl_gone"], pa.array(text, pa.string())], ["__cl_id", "__cl_gone", "__cl_text"])
 
-    changed = done.mapInArrow(plain, "_id long, _gone boolean, _text string")
-    text = F.when(F.col("_gone"), F.lit("")).otherwise(F.coalesce("_text", "text"))
-    out = docs.join(changed, docs.doc_id == F.col("_id"), "left").withColumn("text", text)
+    changed = done.mapInArrow(plain, "__cl_id long, __cl_gone boolean, __cl_text string")
+    text = F.when(F.col("__cl_gone"), F.lit("")).otherwise(F.coalesce("__cl_text", "text"))
+    out = docs.join(changed, docs.doc_id == F.col("__cl_id"), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__cl_id").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -55,6 +55,8 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _WORD = re.compile(r"[a-zA-Z]+")
 #: Longest stretch looked at when folding repeats.
 PERIOD = 12
+#: Largest table for an exact alignment.
+EXACT = 400_000
 #: Parts in which a host's streams are aligned first.
 SALTS = 16
 BROADCAST_BYTES = 8 << 20
@@ -162,27 +164,68 @@ def stream(tokens: list[tuple[str, str]]) -> list:
     return fold([["#"] if k == "#" else [k, v] for k, v in tokens])
 
 
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places (an approximate one for very long pages)."""
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    n, m = len(a), len(b)
+    while n > lo and m > lo and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    ends = [(n + k, m + k) for k in range(len(a) - n)]
+    x, y = a[lo:n], b[lo:m]
+    if len(x) * len(y) > EXACT:
+        middle = [(lo + t.a + k, lo + t.b + k) for t in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for k in range(t.size)]
+        return [(k, k) for k in range(lo)] + middle + ends
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    middle, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            middle.append((lo + i, lo + j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return [(k, k) for k in range(lo)] + middle + ends
+
+
 def align(a: list, b: list) -> list:
-    """A wrapper that generates what the wrappers a and b generate."""
-    ka, kb = [json.dumps(x) for x in a], [json.dumps(x) for x in b]
-    out: list = []
-    for op, i, j, k, m in SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += a[i:j]
-            continue
-        for part in (a[i:j], b[k:m]):
-            if part and part[0][0] in "?" and len(part) == 1:
-                out += part if not out or out[-1] != part[0] else []
-                continue
+    """A wrapper that generates what the wrappers a and b generate; aligning a part of it again changes nothing."""
+    flat = [[x for n in w for x in ([(m, True) for m in n[1]] if n[0] == "?" else [(n, False)])] for w in (a, b)]
+    keys = [[json.dumps(n) for n, _ in w] for w in flat]
+    out: list[tuple[list, bool]] = []
+
+    def mismatch(part: list[tuple[list, bool]]) -> None:
+        nodes = [n for n, _ in part]
+        inner = nodes[0][1] if len(nodes) == 1 and nodes[0][0] == "+" else nodes
+        before = [n for n, _ in out[-len(inner) :]] if inner else []
+        if inner and not any(o for _, o in out[-len(inner) :]) and before == inner and balanced(inner):
+            del out[-len(inner) :]
+            out.append((["+", inner], False))  # what stands before repeats
+        elif not (out and out[-1][0] == ["+", inner]):
+            out.extend((n, True) for n in nodes)
+
+    i = j = 0
+    for x, y in [*_common(*keys), (len(flat[0]), len(flat[1]))]:
+        for part in (flat[0][i:x], flat[1][j:y]):
             if part:
-                n = len(part)
-                inner = part[0][1] if n == 1 and part[0][0] == "+" else part
-                if out[-len(inner) :] == inner and balanced(inner):  # what stands before repeats
-                    del out[-len(inner) :]
-                    out.append(["+", inner])
-                elif not (out and out[-1] in (["?", part], ["+", part])):
-                    out.append(["?", part])
-    return fold(out)
+                mismatch(part)
+        if x < len(flat[0]):
+            out.append((flat[0][x][0], flat[0][x][1] or flat[1][y][1]))
+        i, j = x + 1, y + 1
+    grouped: list = []
+    for node, optional in out:
+        if not optional:
+            grouped.append(node)
+        elif grouped and grouped[-1][0] == "?":
+            grouped[-1][1].append(node)
+        else:
+            grouped.append(["?", [node]])
+    return grouped
 
 
 def slots(wrapper: list) -> set[str]:

@@ -52,7 +52,7 @@ def detect_topics(keys: DataFrame, per_doc: int = 5, most: int = 10, shared: int
                     taken.add(other)
                     topic |= words[other]
             chosen = sorted(topic, key=lambda w: w.encode())[:10]
-            out.append((len(out), chosen, members, float(len(members) * len(topic))))
+            out.append((len(out), chosen, members, float(len(members) * len(chosen))))
         frame = pd.DataFrame(out, columns=["topic_id", "keywords", "doc_ids", "coherence"])
         yield frame.sort_values(["coherence", "topic_id"], ascending=[False, True])
 
@@ -71,21 +71,25 @@ def graph_layout(ids: DataFrame) -> DataFrame:
     return ids.select("doc_id", F.round(F.cos(angle), 6).alias("x"), F.round(F.sin(angle), 6).alias("y"))
 
 
-def star_clusters(top: DataFrame, least: float = 0.3) -> DataFrame:
-    """One greedy pass from each unvisited document over the top pairs (ten rows at most)."""
+def star_clusters(top: DataFrame, ids: DataFrame, least: float = 0.3) -> DataFrame:
+    """``(cluster_id, doc_id)``: one greedy pass, in doc_id order, from each unvisited document to its unvisited partners.
+
+    Only the top pairs link documents (ten rows at most, handled on the driver); all other documents
+    are clusters of their own. A cluster is named by its first document.
+    """
     links: dict[int, list[int]] = {}
-    for r in top.filter(F.col("similarity") > least).orderBy("doc_id_1", "doc_id_2").collect():
+    for r in top.filter(F.col("similarity") > least).collect():
         links.setdefault(r["doc_id_1"], []).append(r["doc_id_2"])
         links.setdefault(r["doc_id_2"], []).append(r["doc_id_1"])
-    seen: set[int] = set()
-    rows = []
+    home: dict[int, int] = {}
     for start in sorted(links):
-        if start not in seen:
-            members = [start, *(x for x in sorted(links[start]) if x not in seen)]
-            seen.update(members)
-            number = len({r[0] for r in rows})
-            rows += [(number, m) for m in members]
-    return top.sparkSession.createDataFrame(rows, "cluster_id long, doc_id long")
+        if start not in home:
+            home[start] = start
+            for other in links[start]:
+                home.setdefault(other, start)
+    linked = top.sparkSession.createDataFrame([(c, d) for d, c in home.items()], "cluster_id long, doc_id long")
+    alone = ids.select("doc_id").join(F.broadcast(linked), "doc_id", "left_anti").select(F.col("doc_id").alias("cluster_id"), "doc_id")
+    return linked.unionByName(alone)
 
 
 def kpis(totals: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "valid_docs": lambda s, d: _docs(s, d).select("doc_id", "doc_name"),
     "speedup_metrics": _runs,
     "topics": lambda s, d: analytics.detect_topics(weights.keywords(_weights(s, d))),
-    "clusters": lambda s, d: analytics.star_clusters(similarity.top_similar(_unit(s, d))),
+    "clusters": lambda s, d: analytics.star_clusters(similarity.top_similar(_unit(s, d)), _weights(s, d).select("doc_id").distinct()),
     "spell_suggest": _suggest,
 }
 

@@ -37,6 +37,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: A key is hot with more than 1 / HOT of all rows, so there are under HOT hot keys.
+HOT = 1000
+SALTS = 64
+
+
+def hot_join(rows: DataFrame, by_key: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``by_key`` (a row per key, ``times`` of its rows of ``total``) that splits hot keys.
+
+    Only the hot keys are broadcast, under ``HOT`` of them at any size of the input; their rows are
+    dealt over ``SALTS`` tasks. All other keys join as usual.
+    """
+    is_hot = F.col(times) > max(total // HOT, SALTS)
+    hot = by_key.filter(is_hot).select(key, F.lit(True).alias("__cl_hot"))
+    salt = F.when(F.col("__cl_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("__cl_salt", salt).drop("__cl_hot")
+    dealt = by_key.withColumn("__cl_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(dealt, [key, "__cl_salt"]).drop("__cl_salt")
+
+
 #: Rows of one Arrow batch, so that long texts do not swell the Python workers.
 BATCH_ROWS = 1000
 

@@ -10,7 +10,8 @@
    ``block`` is cut into blocks whose pairs are dealt to different tasks, so that no task holds
    more than two blocks.
 4. A shard yields a spanning star for each of its components (never all pairs); alternating
-   large-star/small-star rounds join the stars to global components.
+   large-star/small-star rounds join the stars to global components. Vertices and fingerprints with
+   a large part of all rows are salted in every join.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. Repeated rows
 and equal ids keep one output row each. An empty table gives an empty result. Other columns of
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import spread, stored, table, texts
+from corpusloom.llm.common import hot_join, spread, stored, table, texts
 
 RADIUS = 3
 SHINGLE = 3
@@ -167,10 +168,11 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     before = None
+    count = edges.count()
     while True:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")).select("u", F.least("u", "m").alias("m"), "times")
+        large = hot_join(both, least, "u", "times", 2 * count).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = large.filter("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
@@ -178,18 +180,19 @@ def connected(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-        before = now
+        before, count = now, now[0]
 
 
 def components(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``(id, fp, component_id)`` from ``(id, fp)``: the least id reachable over links."""
     fps = stored(fps, "fps")
     roots = connected(links(fps, radius, block))
-    first = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    placed = first.join(roots, first.fp == roots.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("id", "fp", "component_id")
+    first = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    placed = stored(first.join(roots, first.fp == roots.v, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "placed")
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("times"))
+    n_fps, n_rows = placed.agg(F.count("*"), F.sum("rows")).first()
+    by_fp = hot_join(placed, named, "root", "times", n_fps).select("fp", "component_id", "rows")
+    return hot_join(fps, by_fp, "fp", "rows", n_rows or 0).select("id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:

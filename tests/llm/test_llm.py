@@ -297,3 +297,18 @@ def test_buffers():
     data = [b"", b"abc", b"d"]
     flat, offsets = chat.utf8(pa.array(data, pa.binary()).slice(1))
     assert flat.tobytes() == b"abcd" and offsets.tolist() == [0, 3, 4]
+
+
+def test_hot_join_splits_a_hot_key_and_loses_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.common import SALTS, hot_join
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("key"))
+    by_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = hot_join(rows, by_key, "key", "n", 3000)
+    assert sorted(got.columns) == ["id", "key", "least", "n"]
+    want = rows.join(by_key, "key").select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert by_key.filter(F.col("n") > max(3000 // 1000, SALTS)).count() == 1
+    assert hot_join(rows.limit(0), by_key.limit(0), "key", "n", 0).count() == 0

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import spread, stored, table, texts
+from corpusloom.llm.common import hot_join, spread, stored, table, texts
 
 MIN_BYTES = 200
 #: Common prefixes are measured up to this length.
@@ -368,11 +368,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     scanned = stored(source.mapInArrow(_anchors, "id long, start long, n int, key long, digest binary, n_bytes long"), "anchors")
     each = scanned.filter("digest is not null").select("id", "digest", "n_bytes")
     alike = each.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("leader"))
-    digests = stored(each.join(alike, "digest").select("id", "digest", "n_bytes", "copies", (F.col("id") == F.col("leader")).alias("leads")), "digests")
+    digests = stored(hot_join(each, alike, "digest", "copies", each.count()).select("id", "digest", "n_bytes", "copies", (F.col("id") == F.col("leader")).alias("leads")), "digests")
     runs = scanned.filter("key is not null").select("id", (F.shiftleft("start", 8) + F.col("n")).alias("run"), "key")
     twice = runs.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
     k = F.ceil(F.col("times") / block).cast("int")
-    hit = runs.join(twice, "key").select("id", F.struct(F.shiftright("run", 8).alias("start"), F.col("run").bitwiseAND(255).cast("int").alias("n"), "key", F.pmod(F.xxhash64("id"), k).cast("int").alias("block"), (k > 1).alias("cut")).alias("run"))
+    hit = hot_join(runs, twice, "key", "times", runs.count()).select("id", F.struct(F.shiftright("run", 8).alias("start"), F.col("run").bitwiseAND(255).cast("int").alias("n"), "key", F.pmod(F.xxhash64("id"), k).cast("int").alias("block"), (k > 1).alias("cut")).alias("run"))
     by_text = hit.groupBy("id").agg(F.collect_list("run").alias("runs"))
     lead = digests.filter("leads").select("id", "copies")
     held = source.mapInArrow(_squeezed, "id long, z binary").join(by_text.join(lead, "id"), "id")

@@ -19,6 +19,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ DOCUMENTS = 2048
 ATTENTION = 2048 * 2048
 WEIGHTS = (1.0, 0.01, 0.01)
 #: Entries of a tokenizer's word cache; it starts afresh when full.
-CACHE = 200_000
+CACHE = 600_000
 #: White space of the tokenizer (Unicode White_Space), and what str.split() would split at besides.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -61,8 +62,8 @@ class WordTokenizer:
         self.own = Tokenizer.from_file(path)
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        #: Ids of words and of their parts; a part that is itself a word has the same ids as one.
+        self.ids: dict[str, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -75,30 +76,35 @@ class WordTokenizer:
                 continue
             split[i] = words = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
             missing.update(words)
-        missing = [w for w in missing if w not in self.words]
-        if len(self.words) > CACHE:
-            self.words.clear()
+        missing = [w for w in missing if w not in self.ids]
+        if len(self.ids) > CACHE:
+            self.ids.clear()
             missing = list({w for words in split.values() for w in words})
         parts = {w: self.split.findall(w) for w in missing}
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        new = list({p for found in parts.values() for p in found if p not in self.parts})
+        new = list({p for found in parts.values() for p in found if p not in self.ids})
         for p, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[p] = np.asarray(e.ids, "<u4").tobytes()
+            self.ids[p] = np.asarray(e.ids, "<u4").tobytes()
         for w, found in parts.items():
-            self.words[w] = b"".join([self.parts[p] for p in found])
-        get = self.words.__getitem__
+            if len(found) != 1 or found[0] != w:
+                self.ids[w] = b"".join([self.ids[p] for p in found])
+        get = self.ids.__getitem__
         for i, words in split.items():
             out[i] = b"".join(map(get, words))
         return out
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer, and its cache, for all tasks of a Python worker."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every whole text."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         for b in batches:
             owner, nth, start, length, crc = [], [], [], [], []
             for k, ids in zip(b["id"].to_pylist(), tokenizer.encode([x or "" for x in b["text"].to_pylist()]), strict=True):

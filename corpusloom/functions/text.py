@@ -13,7 +13,8 @@ from corpusloom.functions.stopwords import STOPWORDS
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÁÉÍÓÚÑÜ"
 LOWER = "abcdefghijklmnopqrstuvwxyzáéíóúñü"
 WHITE = " \\t\\n\\x0B\\f\\r"
-LETTERS = "A-Za-z0-9" + WHITE + "Á-Üá-ü"
+LETTERS_ONLY = "A-Za-zÁ-Üá-ü"
+LETTERS = LETTERS_ONLY + "0-9" + WHITE
 MIN_BYTES = 2
 
 
@@ -47,10 +48,22 @@ def without_short(words: Column, least: int = MIN_BYTES) -> Column:
 
 def tokens(text: Column, keep_numbers: bool = False, more_stopwords: Iterable[str] = (), least: int = MIN_BYTES) -> Column:
     """The whole chain: lower, specials, digits, split, stop-words, short words."""
-    plain = without_specials(lowered(text))
-    words = split_words(plain if keep_numbers else without_digits(plain))
+    return F.filter(parts(text, keep_numbers), lambda w: counts(w, more_stopwords, least))
+
+
+def parts(text: Column, keep_numbers: bool = False) -> Column:
+    """Words before stop-words and short ones go, and maybe empty ones: digits are deleted, then all but letters splits.
+
+    The same as :func:`without_specials`, :func:`without_digits` and :func:`split_words` in turn, in fewer passes.
+    """
+    plain = lowered(text)
+    return F.split(plain, f"[^{LETTERS_ONLY}0-9]+") if keep_numbers else F.split(without_digits(plain), f"[^{LETTERS_ONLY}]+")
+
+
+def counts(word: Column, more_stopwords: Iterable[str] = (), least: int = MIN_BYTES) -> Column:
+    """Whether a word stays: long enough, and no stop-word."""
     stop = [*STOPWORDS, *(w.strip().lower() for w in more_stopwords)]
-    return F.filter(words, lambda w: ~w.isin(stop) & (F.octet_length(w) >= least))
+    return (F.octet_length(word) >= max(1, least)) & ~word.isin(stop)
 
 
 def is_phrase(query: str) -> bool:

@@ -13,16 +13,21 @@ def corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     name = F.concat(F.lit("doc_"), F.col(id_col).cast("string"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), name.alias("doc_name"), F.col(text_col).alias("text")).filter((F.col("doc_id") >= 0) & (F.col("text") != ""))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores // 2 else rows
+    # few splits are dealt by id, so that what groups by document later needs no other shuffle
+    return rows.repartition(cores, "doc_id") if rows.rdd.getNumPartitions() < cores // 2 else rows
 
 
 def tokenised(docs: DataFrame, **more) -> DataFrame:
     return docs.select("doc_id", T.tokens(F.col("text"), **more).alias("terms"))
 
 
-def postings(docs: DataFrame, **more) -> DataFrame:
-    """``(doc_id, term, tf)``; the partial aggregate combines a document's words before the shuffle."""
-    return tokenised(docs, **more).select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, keep_numbers: bool = False, **more) -> DataFrame:
+    """``(doc_id, term, tf)``; the partial aggregate combines a document's words before any shuffle.
+
+    Words are filtered after the explode, inside generated code, and not by a function over arrays.
+    """
+    words = docs.select("doc_id", F.explode(T.parts(F.col("text"), keep_numbers)).alias("term"))
+    return words.filter(T.counts(F.col("term"), **more)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def positions(docs: DataFrame) -> DataFrame:

@@ -28,10 +28,6 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.weights(index.postings(docs), docs)
 
 
-def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.unit(_weights(spark, sf_dir))
-
-
 def _search(query: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _docs(spark, sf_dir)
@@ -40,14 +36,15 @@ def _search(query: str):
     return run
 
 
-def _first_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix is a report over the 40 first documents with a weight."""
-    return _weights(spark, sf_dir).select("doc_id").distinct().orderBy("doc_id").limit(40)
+def _alike(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors of the class representatives, and the members of the classes."""
+    docs = _docs(spark, sf_dir)
+    members = similarity.classes(docs)
+    return similarity.representatives(similarity.unit(weights.weights(index.postings(docs), docs)), members), members
 
 
-def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _first_ids(spark, sf_dir)
-    return similarity.matrix(_unit(spark, sf_dir).join(ids, "doc_id", "left_semi"), ids)
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.top_similar(*_alike(spark, sf_dir))
 
 
 def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +58,15 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.above(_unit(spark, sf_dir)).select("doc_id_1", "doc_id_2", F.round("similarity", 4).alias("similarity"))
+    return similarity.link_counts(*_alike(spark, sf_dir))
+
+
+def _duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.above(_alike(spark, sf_dir)[0]).select("doc_id_1", "doc_id_2", F.round("similarity", 4).alias("similarity"))
 
 
 def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.pairs(_unit(spark, sf_dir)).select("doc_id_1", "doc_id_2", F.round("similarity", 4).alias("similarity"))
+    return similarity.pairs(_alike(spark, sf_dir)[0]).select("doc_id_1", "doc_id_2", F.round("similarity", 4).alias("similarity"))
 
 
 def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,14 +119,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_or": lambda s, d: index.search_or(_post(s, d), ["thing", "ention", "thing", "zzzz"]),
     "document_frequency": lambda s, d: index.document_frequency(_post(s, d), "thing"),
     "similarity_pairs": _overlap,
-    "top_similar_10": lambda s, d: similarity.top_similar(_unit(s, d)),
+    "top_similar_10": _top,
     "near_duplicates_090": _duplicates,
-    "similarity_matrix_small": _matrix,
+    "duplicate_pairs_090": _duplicate_pairs,
+    "similarity_matrix": lambda s, d: similarity.matrix(_alike(s, d)[0]),
     "dense_cosine": _vectors,
     "importance_ranking": lambda s, d: analytics.importance(_weights(s, d)),
     "insights": _insights,
     "kpi_totals": lambda s, d: analytics.kpis(index.doc_totals(_docs(s, d))),
-    "graph_edges": lambda s, d: analytics.graph_edges(similarity.top_similar(_unit(s, d))),
+    "graph_edges": lambda s, d: analytics.graph_edges(_top(s, d)),
     "graph_layout": lambda s, d: analytics.graph_layout(_weights(s, d).select("doc_id").distinct()),
     "name_filter": _names,
     "preview_200": lambda s, d: _docs(s, d).select("doc_id", T.preview(F.col("text")).alias("preview"), T.kilobytes(F.octet_length("text")).alias("kb")),
@@ -133,7 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "valid_docs": lambda s, d: _docs(s, d).select("doc_id", "doc_name"),
     "speedup_metrics": _runs,
     "topics": lambda s, d: analytics.detect_topics(weights.keywords(_weights(s, d))),
-    "clusters": lambda s, d: analytics.star_clusters(similarity.top_similar(_unit(s, d)), _weights(s, d).select("doc_id").distinct()),
+    "clusters": lambda s, d: analytics.star_clusters(_top(s, d), _weights(s, d).select("doc_id").distinct()),
     "spell_suggest": _suggest,
 }
 
@@ -157,6 +159,7 @@ _W = (
 _KEYS = _W + ", keys AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(tfidf, 6) DESC, term) AS INTEGER) AS rank, term, round(tfidf, 6) AS score FROM w)"
 _UNIT = _W + ", u AS (SELECT doc_id, term, tfidf / sqrt(sum(tfidf * tfidf) OVER (PARTITION BY doc_id)) AS u FROM w WHERE tfidf <> 0)"
 _PAIRS = _UNIT + ", pairs AS (SELECT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2, sum(a.u * b.u) AS sim FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)"
+_REPS = _PAIRS + ", cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(terms)) AS class_id FROM tok WHERE len(terms) > 0), reps AS (SELECT p.* FROM pairs p WHERE doc_id_1 IN (SELECT class_id FROM cls) AND doc_id_2 IN (SELECT class_id FROM cls))"
 _TOP = _PAIRS + ", top AS (SELECT doc_id_1, doc_id_2, round(sim, 4) AS similarity FROM pairs ORDER BY similarity DESC, doc_id_1, doc_id_2 LIMIT 10)"
 _JOINED = "SELECT doc_id, coalesce(array_to_string(terms, ' '), '') AS tokens FROM tok"
 
@@ -199,10 +202,11 @@ ORACLE_SQL: dict[str, str] = {
     "index_and": f"WITH {_POST} SELECT doc_id FROM post WHERE term IN ('thing', 'ention') GROUP BY doc_id HAVING count(*) = 2",
     "index_or": f"WITH {_POST}, q(term) AS (VALUES ('thing'), ('ention'), ('thing'), ('zzzz')) SELECT doc_id, count(*) AS matched FROM post JOIN q USING (term) GROUP BY doc_id",
     "document_frequency": f"WITH {_POST} SELECT 'thing' AS term, count(*) AS df FROM post WHERE term = 'thing'",
-    "similarity_pairs": f"WITH {_PAIRS} SELECT doc_id_1, doc_id_2, round(sim, 4) AS similarity FROM pairs",
+    "similarity_pairs": f"WITH {_REPS} SELECT doc_id_1, doc_id_2, round(sim, 4) AS similarity FROM reps",
     "top_similar_10": f"WITH {_TOP} SELECT * FROM top",
-    "near_duplicates_090": f"WITH {_PAIRS} SELECT doc_id_1, doc_id_2, round(sim, 4) AS similarity FROM pairs WHERE round(sim, 9) >= 0.9",
-    "similarity_matrix_small": f"WITH {_PAIRS}, ids AS (SELECT DISTINCT doc_id FROM w ORDER BY doc_id LIMIT 40) SELECT a.doc_id AS i, b.doc_id AS j, round(CASE WHEN a.doc_id = b.doc_id THEN 1.0 ELSE coalesce(sim, 0.0) END, 4) AS similarity FROM ids a CROSS JOIN ids b LEFT JOIN pairs ON doc_id_1 = least(a.doc_id, b.doc_id) AND doc_id_2 = greatest(a.doc_id, b.doc_id)",
+    "near_duplicates_090": f"WITH {_REPS}, e AS (SELECT doc_id_1, doc_id_2 FROM pairs WHERE round(sim, 9) >= 0.9), k AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id_1 AS doc_id FROM e UNION ALL SELECT doc_id_2 FROM e) GROUP BY doc_id) SELECT doc_id, class_id, coalesce(k.n, 0) AS n_links FROM cls LEFT JOIN k USING (doc_id)",
+    "duplicate_pairs_090": f"WITH {_REPS} SELECT doc_id_1, doc_id_2, round(sim, 4) AS similarity FROM reps WHERE round(sim, 9) >= 0.9",
+    "similarity_matrix": f"WITH {_REPS} SELECT doc_id_1 AS i, doc_id_2 AS j, round(sim, 4) AS similarity FROM reps UNION ALL SELECT doc_id_2, doc_id_1, round(sim, 4) FROM reps UNION ALL SELECT DISTINCT doc_id, doc_id, 1.0 FROM u WHERE doc_id IN (SELECT class_id FROM cls)",
     "dense_cosine": "WITH p AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1) SELECT vec_id, round(CASE WHEN len(x) <> len(y) OR len(x) = 0 OR list_inner_product(x, x) * list_inner_product(y, y) = 0 THEN 0 ELSE list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))) END, 6) AS cosine FROM p",
     "importance_ranking": f"WITH {_W} SELECT doc_id, round(count(*) + sum(tfidf), 4) AS importance FROM w GROUP BY doc_id",
     "insights": f"WITH {_KEYS} SELECT doc_id, string_agg(term, ', ' ORDER BY rank) AS topics, translate(substring(any_value(text), 1, 200), chr(10), ' ') || '...' AS preview FROM keys JOIN docs USING (doc_id) WHERE rank <= 5 GROUP BY doc_id",

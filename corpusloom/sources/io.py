@@ -108,3 +108,19 @@ def clear(spark: SparkSession, path: str, root: str) -> bool:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def summary_of(docs: DataFrame) -> DataFrame:
+    """Metadata of all documents; the text is pruned at the scan."""
+    return docs.drop("text")
+
+
+def content_of(docs: DataFrame, doc_id: int) -> str:
+    """The text of a document, empty where there is none."""
+    row = docs.filter(F.col("doc_id") == doc_id).select("text").first()
+    return (row["text"] or "") if row else ""
+
+
+def trend(runs: DataFrame) -> DataFrame:
+    """``(at, processes, time_ms)`` of the history, oldest first."""
+    return runs.select("at", "processes", "time_ms").orderBy("at", "processes")

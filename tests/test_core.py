@@ -64,6 +64,60 @@ def test_similarity_properties(spark):
     assert similarity.unit(weights.weights(index.postings(one), one)).count() == 0
 
 
+def test_classes_lose_no_link(spark):
+    texts = ["red blue green"] * 13 + ["green blue red"] + ["red blue green extra"] * 3 + ["sand", "the", "sand", "lone words here"]
+    docs = corpus(spark, texts)
+    unit = similarity.unit(weights.weights(index.postings(docs), docs)).cache()
+    members = similarity.classes(docs)
+    reps = similarity.representatives(unit, members).cache()
+    every = [(r[0], r[1], r[2]) for r in similarity.pairs(unit).collect()]
+    for t in (0.9, 0.3):
+        want = {i: sum(round(s, 9) >= t and i in (a, b) for a, b, s in every) for i in range(len(texts)) if texts[i] != "the"}
+        got = {r["doc_id"]: r for r in similarity.link_counts(reps, members, t).collect()}
+        assert {k: r["n_links"] for k, r in got.items()} == want
+        assert all(r["class_id"] == min(i for i, x in enumerate(texts) if sorted(x.split()) == sorted(texts[k].split())) for k, r in got.items())
+    for n in (3, 10, 500):
+        want = sorted(((-round(s, 4), a, b) for a, b, s in every))[:n]
+        assert [(-r["similarity"], r["doc_id_1"], r["doc_id_2"]) for r in similarity.top_similar(reps, members, n).collect()] == want
+    rows = {r["i"]: list(r["row"]) for r in similarity.dense_rows(similarity.matrix(reps), reps.select("doc_id").distinct()).collect()}
+    assert all(rows[a][k] == rows[b][m] for k, b in enumerate(sorted(rows)) for m, a in enumerate(sorted(rows))) and all(rows[a][k] == 1 for k, a in enumerate(sorted(rows)))
+    none = docs.filter("false")
+    assert similarity.link_counts(reps.filter("false"), similarity.classes(none)).count() == similarity.top_similar(reps.filter("false"), similarity.classes(none)).count() == 0
+
+
+def test_parts_equal_the_single_steps(spark):
+    texts = ["mp3 A-1 ÑANDÚ Être ñ x à÷b ß×Ö", "a1b 2 3c\t\x0b4", "", "É" * 3 + "\u2003x1y", "1-2_3", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for keep in (False, True):
+        plain = T.without_specials(T.lowered(F.col("text")))
+        steps = T.without_short(T.without_stopwords(T.split_words(plain if keep else T.without_digits(plain))))
+        for a, b in rows.select(T.tokens(F.col("text"), keep_numbers=keep), steps).collect():
+            assert a == b
+
+
+@pytest.mark.parametrize("command", ["process", "tfidf", "search", "similarity", "benchmark"])
+def test_commands(spark, tmp_path, command):
+    from corpusloom.plans import commands
+
+    corpus_ = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, "ant bee bee"), (2, "ant bee bee"), (3, "cat dog")], "doc_id long, text string").write.parquet(corpus_)
+    out = str(tmp_path / "out")
+    tables = commands.run(spark, command, corpus_, out, *(["bee"] if command == "search" else []))
+    for name in tables:
+        spark.read.json(f"{out}/{name}")
+    if command == "search":
+        assert {r["doc_id"] for r in spark.read.json(f"{out}/results").collect()} == {1, 2}
+        assert spark.read.json(f"{out}/summary").first()["num_results"] == 2
+    if command == "similarity":
+        assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in spark.read.json(f"{out}/members").collect()} == {(1, 1, 1), (2, 1, 1), (3, 3, 0)}
+    if command == "process":
+        assert spark.read.json(f"{out}/totals").first()["total_words"] == 8
+        assert io.trend(io.history(spark, f"{out}/history")).count() == 1
+        assert io.content_of(spark.read.parquet(corpus_), 3) == "cat dog" and io.content_of(spark.read.parquet(corpus_), 9) == ""
+    with pytest.raises(ValueError):
+        commands.run(spark, "nothing", corpus_, out)
+
+
 def test_incremental_index(spark):
     docs = corpus(spark, ["ant bee", "bee cat", "cat dog"])
     some = index.postings(docs.filter("doc_id < 2"))

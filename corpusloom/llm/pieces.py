@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import spread, stored, table
 
 MARK = "▁"
-#: Folds over a word's edges in bpe mode.
-PASSES = 3
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -103,18 +101,35 @@ def _path(states: Column) -> Column:
 
 
 def _merge(word: Column, edges: Column) -> Column:
-    """Open cuts of a word as a string of 0 and 1, one for each place, after merging by score."""
+    """Open cuts of a word as a string of 0 and 1, one for each place, after merging by score.
+
+    The rule: merge the best edge that joins two neighbouring pieces (ties: the leftmost), again and
+    again. A pass takes the edges by score; where a merge opens an edge that came earlier, the pass
+    stops and the next starts anew, so every merge is the best one of its time. A word of n
+    characters has n - 1 merges at most, so as many passes are enough; those after the last do nothing.
+    """
     longer = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
     order = F.array_sort(F.transform(longer, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["end"].alias("end"))))
 
-    def step(cuts: Column, e: Column) -> Column:
-        n = e["end"] - e["start"]
-        open_ = F.substring(cuts, e["start"] + 1, n + 1).rlike("^10*10*1$")
-        joined = F.concat(F.substring(cuts, F.lit(1), e["start"] + 1), F.repeat(F.lit("0"), n - 1), F.substring(cuts, e["end"] + 1, F.length(word)))
-        return F.when(open_, joined).otherwise(cuts)
+    def opens(cuts: Column, e: Column) -> Column:
+        return F.substring(cuts, e["start"] + 1, e["end"] - e["start"] + 1).rlike("^10*10*1$")
+
+    def state(cuts: Column, at: Column, again: Column) -> Column:
+        return F.struct(cuts.alias("cuts"), at.alias("at"), again.alias("again"))
+
+    def once(o: Column, cuts: Column) -> Column:
+        def step(s: Column, e: Column) -> Column:
+            joined = F.concat(F.substring(s["cuts"], F.lit(1), e["start"] + 1), F.repeat(F.lit("0"), e["end"] - e["start"] - 1), F.substring(s["cuts"], e["end"] + 1, F.length(word)))
+            merged = F.transform(F.array(joined), lambda c: state(c, s["at"] + 1, F.exists(F.slice(o, F.lit(1), s["at"]), lambda x: opens(c, x))))[0]
+            return F.when(s["again"] | ~opens(s["cuts"], e), state(s["cuts"], s["at"] + 1, s["again"])).otherwise(merged)
+
+        return F.aggregate(o, state(cuts, F.lit(0), F.lit(False)), step)
+
+    def passes(o: Column) -> Column:
+        start = state(F.repeat(F.lit("1"), F.length(word) + 1), F.lit(0), F.lit(True))
+        return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda s, _: F.when(s["again"], once(o, s["cuts"])).otherwise(s))["cuts"]
 
-    start = F.repeat(F.lit("1"), F.length(word) + 1)
-    return F.transform(F.array(order), lambda o: F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), start, lambda cuts, _: F.aggregate(o, cuts, step)))[0]
+    return F.transform(F.array(order), passes)[0]
 
 
 def _pieces_of(cuts: Column, edges: Column) -> Column:

@@ -226,6 +226,23 @@ def test_pieces(spark):
     assert pieces.encode(table.filter("false"), "text", pt).count() == 0
 
 
+def test_merges_are_the_best_of_their_time(spark):
+    byte = [(f"<0x{i:02X}>", 100 + i, 0.0, "byte", bytes([i])) for i in range(256)]
+    rng = random.Random(9)
+    for _ in range(2):  # scores at random, so that a merge often opens a better one
+        names = {"".join(rng.choices("ab", k=rng.randint(2, 6))) for _ in range(24)}
+        scores = {x: float(-k) for k, x in enumerate(rng.sample(sorted(names), len(names)))} | {"a": -90.0, "b": -91.0}
+        pt = spark.createDataFrame([(x, k, s, "normal", x.encode()) for k, (x, s) in enumerate(scores.items())] + byte, "piece string, piece_id int, score double, kind string, bytes binary")
+        words = {"".join(rng.choices("ab", k=rng.randint(1, 14))) for _ in range(40)}
+        number = {x: k for k, x in enumerate(scores)}
+        for r in pieces.vocabulary(spark.createDataFrame([(w,) for w in words], "word string"), pt).collect():
+            parts = list(r["word"])
+            while joins := [(-scores[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in scores]:
+                i = min(joins)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            assert list(r["ids"]) == [number[x] for x in parts], r["word"]
+
+
 def test_viterbi(spark):
     pt = spark.createDataFrame([("▁", 1, -1.0), ("▁a", 2, -1.5), ("a", 3, -2.0), ("ab", 4, -1.0), ("b", 5, -3.0)], "piece string, piece_id int, score double").selectExpr("*", "'normal' AS kind", "cast(piece AS binary) AS bytes")
     byte = spark.createDataFrame([(f"<0x{i:02X}>", 100 + i, 0.0, "byte", bytes([i])) for i in range(256)], pt.schema)

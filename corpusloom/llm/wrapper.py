@@ -5,8 +5,9 @@
 2. The token stream is folded: stretches that repeat side by side become a repeated group ``(...)+``.
    Equal folded streams of a host are one, counted before the shuffle.
 3. A host's wrapper is inferred by aligning its streams one after the other: equal tokens stay, two
-   texts become a slot, a stretch that repeats what stands before it becomes a repeated group, any other
-   mismatch an optional group ``(...)?``. Large hosts are aligned in salted parts, whose wrappers are then aligned.
+   texts of one place become a slot, a stretch that repeats what stands before it becomes a repeated group, any
+   other mismatch an optional group ``(...)?``. A slot carries its place, so none is lost where pages differ.
+   Large hosts are aligned in salted parts, whose wrappers are then aligned.
 4. The wrapper's slots are told apart once per host: slots within an article (or main part) are content
    where the host has one; else all slots outside menus, headers, footers, sidebars, notices,
    adverts, forms and comments. A page's texts whose place in the wrapper is a content slot are its main text.
@@ -160,8 +161,9 @@ def balanced(nodes: list) -> bool:
 
 
 def stream(tokens: list[tuple[str, str]]) -> list:
-    """The folded stream of a page; texts are slots."""
-    return fold([["#"] if k == "#" else [k, v] for k, v in tokens])
+    """The folded stream of a page; texts are slots with their place."""
+    places = _paths(tokens)
+    return fold([["#", "/".join(next(places))] if k == "#" else [k, v] for k, v in tokens])
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -231,20 +233,11 @@ def align(a: list, b: list) -> list:
 def slots(wrapper: list) -> set[str]:
     """The places (open elements, joined by "/") of a wrapper's slots."""
     found: set[str] = set()
-
-    def walk(nodes: list, path: list[str]) -> None:
-        for n in nodes:
-            if n[0] == "<":
-                path.append(n[1])
-            elif n[0] == ">":
-                if n[1] in path:
-                    del path[len(path) - 1 - path[::-1].index(n[1]) :]
-            elif n[0] == "#":
-                found.add("/".join(path))
-            else:
-                walk(n[1], path)
-
-    walk(wrapper, [])
+    for n in wrapper:
+        if n[0] == "#":
+            found.add(n[1])
+        elif n[0] in "+?":
+            found |= slots(n[1])
     return found
 
 

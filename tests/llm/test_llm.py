@@ -286,6 +286,14 @@ def test_wrapper(spark):
     assert wrapper.slots(a) | wrapper.slots(b) == wrapper.slots(both) and wrapper.align(both, a) == both
 
 
+def test_wrapper_keeps_texts_where_pages_differ(spark):
+    pairs = [("<h2>x</h2>", "<h3>y</h3>"), ("<ul><li>x</ul>", "<ol><li>y</ol>"), ("<p>x</p>", "<blockquote><p>y</p></blockquote>"), ("<p>x</p>", "<p>y</p><p>z</p>"), ("<p>x</p>", "<div>y</div><p>z</p><p>w</p>")]
+    rows = [(2 * k + i, f"http://h{k}.example/{i}", f"<article><h1>t</h1>{x}</article>") for k, pair in enumerate(pairs) for i, x in enumerate(pair)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = ["x", "y", "x", "y", "x", "y", "x", "y z", "x", "y z w"]
+    assert got == {k: "\n\n".join(["t", *x.split()]) for k, x in enumerate(want)}
+
+
 def test_pipeline(spark, docs, tmp_path):
     rows = docs.filter("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars")
     rows.write.parquet(str(tmp_path / "documents.parquet"))

@@ -37,6 +37,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs``, stored, with a row key ``__cl_row``; ids may be null or repeat."""
+    return stored(docs.withColumn("__cl_row", F.monotonically_increasing_id()), "keyed")
+
+
 #: A key is hot with more than 1 / HOT of all rows, so there are under HOT hot keys.
 HOT = 1000
 SALTS = 64

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import hot_join, spread, stored, table, texts
+from corpusloom.llm.common import hot_join, keyed, spread, stored, table, texts
 
 RADIUS = 3
 SHINGLE = 3
@@ -206,6 +206,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leaders(docs: DataFrame) -> DataFrame:
-    """The documents that lead their group (the least id), with their columns as they are."""
-    found = components(fingerprints(docs)).filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__cl_id")).distinct()
-    return docs.join(found, docs.doc_id == F.col("__cl_id"), "left_semi")
+    """One document of each group, with its columns as they are: the one with the least id (null last), of equal ids the first row."""
+    rows = keyed(docs)
+    fps = stored(fingerprints(rows, "__cl_row"), "fps")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__cl_row").alias("row"))
+    first = fps.join(rows.select("__cl_row", least.alias("least")), fps.id == F.col("__cl_row")).groupBy("fp").agg(F.min("least").alias("least"))
+    roots = connected(links(fps))
+    placed = first.join(roots, first.fp == roots.v, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least"))
+    return rows.join(placed.select(F.col("least.row").alias("__cl_row")), "__cl_row", "left_semi").select(*docs.columns)

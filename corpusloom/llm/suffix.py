@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import hot_join, spread, stored, table, texts
+from corpusloom.llm.common import hot_join, keyed, spread, stored, table, texts
 
 MIN_BYTES = 200
 #: Common prefixes are measured up to this length.
@@ -455,9 +455,11 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut(docs: DataFrame) -> DataFrame:
     """The documents without repeats, with their columns; ``n_chars`` follows where it is there.
 
-    A character of which only a part is repeated goes with the repeat.
+    A character of which only a part is repeated goes with the repeat. Ids may be null or repeat.
     """
-    done = without_repeats(docs).select(F.col("id").alias("__cl_id"), "rest", ((F.col("n_removed") > 0) & F.col("rest").isNull()).alias("__cl_gone")).filter("rest is not null or __cl_gone")
+    columns = docs.columns
+    docs = keyed(docs)
+    done = without_repeats(docs, "__cl_row").select(F.col("id").alias("__cl_id"), "rest", ((F.col("n_removed") > 0) & F.col("rest").isNull()).alias("__cl_gone")).filter("rest is not null or __cl_gone")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -466,7 +468,7 @@ def cut(docs: DataFrame) -> DataFrame:
 
     changed = done.mapInArrow(plain, "__cl_id long, __cl_gone boolean, __cl_text string")
     text = F.when(F.col("__cl_gone"), F.lit("")).otherwise(F.coalesce("__cl_text", "text"))
-    out = docs.join(changed, docs.doc_id == F.col("__cl_id"), "left").withColumn("text", text)
+    out = docs.join(changed, docs["__cl_row"] == F.col("__cl_id"), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__cl_id").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*columns)

@@ -314,6 +314,20 @@ def test_pipeline(spark, docs, tmp_path):
     assert set(packed.doc_id) == {r["doc_id"] for r in d.collect()}
 
 
+def plain_rows(n=4, words=90):
+    rng = random.Random(8)
+    return [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(words)), "en", "s", 0) for i in range(n)]
+
+
+def test_repeated_rows_keep_one_text(spark):
+    a, b, *_ = plain_rows()
+    d = spark.createDataFrame([a, b, a, a], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = simhash.leaders(d)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [a[:2], b[:2]]
+    assert sorted((r["doc_id"], r["text"]) for r in suffix.cut(kept).collect()) == [a[:2], b[:2]]
+    assert sorted(r["doc_id"] for r in suffix.cut(d).collect()) == [0, 0, 0, 1]
+
+
 def test_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
 

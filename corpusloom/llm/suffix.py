@@ -19,7 +19,7 @@ Every string of ``min_bytes`` (200) bytes that starts at two places is found, in
 The result does not depend on how buckets and blocks fall: the bytes marked are exactly those
 covered by a repeated 200-byte string.
 
-Nulls and empty texts have no bytes: nothing is removed. Texts shorter than ``min_bytes`` stay.
+Nulls and empty texts have no bytes: nothing is removed. Null ids are ids of their own. Texts shorter than ``min_bytes`` stay.
 Repeated rows with different ids are equal texts and go entirely; ids must be unique (rows that
 repeat an id give one output row each and count as occurrences). An empty table gives an empty
 result. Other columns are ignored, whatever their names.
@@ -48,6 +48,8 @@ BLOCK = 4096
 PIECE = 1 << 19
 #: Suffixes sorted at once.
 CHUNK = 100_000
+#: Ids below ``NULL_IDS + 2**56`` are set aside for the rows without one.
+NULL_IDS = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -156,7 +158,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(raw).digest())
             sizes.append(len(raw))
             data = np.frombuffer(raw, np.uint8)
-            if len(data) < MIN_BYTES or k is None:
+            if len(data) < MIN_BYTES:
                 continue
             for at in range(0, len(data) - MIN_BYTES + 1, PIECE):
                 piece = data[at : at + PIECE + MIN_BYTES - 1]
@@ -364,7 +366,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     digests: ``id, digest, n_bytes, copies`` (copies: rows with the same text). kept: ``id, z`` of
     the texts that hold a repeated anchor and have no copies. found: ``id, start, n``.
     """
-    source = spread(texts(docs, id_col, text_col))
+    # rows without an id get one of their own, from the scan, so that both readings agree
+    source = spread(texts(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(NULL_IDS) + F.monotonically_increasing_id())))
     scanned = stored(source.mapInArrow(_anchors, "id long, start long, n int, key long, digest binary, n_bytes long"), "anchors")
     each = scanned.filter("digest is not null").select("id", "digest", "n_bytes")
     alike = each.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("leader"))
@@ -417,7 +420,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     changed = kept.join(cuts, "id").mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, n_spans long, rest binary").drop("n_bytes")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= MIN_BYTES)
     return digests.join(changed, "id", "left").select(
-        "id", "n_bytes",
+        F.when(F.col("id") >= NULL_IDS + (1 << 56), F.col("id")).alias("id"), "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         "rest", "digest",

@@ -328,6 +328,19 @@ def test_repeated_rows_keep_one_text(spark):
     assert sorted(r["doc_id"] for r in suffix.cut(d).collect()) == [0, 0, 0, 1]
 
 
+def test_null_ids_stay(spark):
+    a, b, c, e = plain_rows()
+    a, c, same = (None, *a[1:]), (2, a[1][:300] + " " + c[1], *c[2:]), (None, *e[1:])
+    d = spark.createDataFrame([a, b, c, same, same], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = quality.kept(d)
+    assert kept.count() == 5
+    led = simhash.leaders(kept)
+    assert sorted(str(r["doc_id"]) for r in led.collect()) == ["1", "2", "None", "None"]
+    rest = {(r["doc_id"], r["text"]) for r in suffix.cut(led).collect()}
+    assert rest == {(None, a[1][301:]), (1, b[1]), (2, c[1][301:]), (None, e[1])}
+    assert sorted(r["n_removed"] for r in suffix.without_repeats(led).collect()) == [0, 0, 301, 301]
+
+
 def test_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
 

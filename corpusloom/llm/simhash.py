@@ -36,6 +36,14 @@ SHINGLE = 3
 BLOCK = 4096
 #: Widths of the five bit blocks; five blocks, three differing bits: two blocks agree.
 BLOCK_BITS = (13, 13, 13, 13, 12)
+#: Near copies of the pipeline's stage: word shingles, their least similarity, and the min-hashes for candidates.
+NEAR_SHINGLE = 5
+SIMILAR = 0.8
+BANDS = 32
+BAND_ROWS = 5
+_MULTIPLY = np.random.default_rng(6).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows of one key of which all pairs are met at once.
+SMALL = 64
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -205,12 +213,109 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def shingles(text: str, size: int = NEAR_SHINGLE) -> set[bytes]:
+    """The word shingles of a text (of the whole text where it is shorter), of words as in :func:`fingerprint`."""
+    words = text.encode().lower().split()
+    if len(words) < size:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+
+
+def bands(grams: set[bytes]) -> np.ndarray:
+    """A key for each of ``BANDS`` bands of ``BAND_ROWS`` min-hashes."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(7)), np.uint64, len(grams))
+    least = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        part = hashes[at : at + 512] * _MULTIPLY[:, None]
+        least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=1))
+    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, fp, whole, bands): whole tells texts of equal words, bands is null without words."""
+    for b in batches:
+        got = b["text"].to_pylist()
+        fps = np.fromiter((fingerprint((x or "").encode()) for x in got), np.uint64, b.num_rows)
+        whole = np.fromiter((xxhash.xxh64_intdigest(b" ".join((x or "").encode().lower().split())) for x in got), np.uint64, b.num_rows)
+        keys = [bands(g) if (g := shingles(x or "")) else None for x in got]
+        yield pa.RecordBatch.from_arrays([b["id"], pa.array(fps.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "whole", "bands"])
+
+
+def _pairs(all_pairs: bool):
+    """Rows sorted by key to pairs of one key whose ``root`` differs: all, or in keys of over ``SMALL`` rows those with the first row and the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            n = len(held)
+            ids, fps, roots = (np.array([r[k] for r in held], np.int64) for k in range(3))
+            whole = n <= SMALL or all_pairs
+            for i in range(n - 1):
+                j = np.arange(i + 1, n if whole or i == 0 else i + 2)
+                if (j := j[roots[j] != roots[i]]).size:
+                    a, b = np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
+                    fa, fb = np.where(ids[j] < ids[i], fps[j], fps[i]), np.where(ids[j] < ids[i], fps[i], fps[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, fa, fb)], ["a", "b", "fa", "fb"])
+
+        for b in batches:
+            for key, *row in zip(*(b[c].to_pylist() for c in ("key", "id", "fp", "root")), strict=True):
+                if key != last:
+                    yield from close()
+                    last, held = key, []
+                held.append(row)
+        yield from close()
+
+    return run
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more, as links of fingerprints."""
+    for b in batches:
+        last, left, keep = None, set(), []
+        for a, x, y in zip(b["a"].to_pylist(), b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
+            if a != last:
+                last, left = a, shingles(x)
+            right = shingles(y)
+            both = len(left & right)
+            keep.append(both >= SIMILAR * (len(left) + len(right) - both))
+        yield pa.RecordBatch.from_arrays([b["fa"], b["fb"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The links ``(a, b)`` of fingerprints of the pairs that are similar."""
+    pairs = stored(pairs.distinct(), "pairs")
+    text = rows.select(F.col("__cl_row").alias("a"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("x"))
+    times = pairs.groupBy("a").agg(F.count("*").alias("times"))
+    both = pairs.join(text.toDF("b", "y"), "b")
+    met = hot_join(both, text.join(times, "a"), "a", "times", pairs.count()).select("a", "x", "y", "fa", "fb")
+    return stored(met.mapInArrow(_similar, "a long, b long").distinct(), "similar")
+
+
 def leaders(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its columns as they are: the one with the least id (null last), of equal ids the first row."""
+    """One document of each group, with its columns as they are: the one with the least id (null last), of equal ids the first row.
+
+    Two texts are linked if their fingerprints are, or if their sets of 5-word shingles have a
+    Jaccard similarity of 0.8 or more: candidates share a band of min-hashes (a pair of similarity
+    0.8 has none with a chance of about 3 in a million), and their texts decide. A key of many rows gives a star and a chain
+    first; then all its pairs that are in different groups still.
+    """
     rows = keyed(docs)
-    fps = stored(fingerprints(rows, "__cl_row"), "fps")
+    fps = stored(spread(texts(rows, "__cl_row", "text")).mapInArrow(_banded, "id long, fp long, whole long, bands array<long>"), "fps")
+    one = fps.filter("bands is not null").join(fps.groupBy("whole").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
+    keys = one.select(F.explode("bands").alias("key"), "id", "fp", F.col("fp").alias("root"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = stored(keys.join(shared, "key"), "bands")
+    edges = links(fps).union(_verified(met.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs(False), "a long, b long, fa long, fb long"), rows))
+    roots = connected(edges)
+    large = met.filter(F.col("n") > SMALL)
+    if not large.isEmpty():
+        large = large.drop("root").join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        more = _verified(large.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs(True), "a long, b long, fa long, fb long"), rows)
+        if not more.isEmpty():
+            roots = connected(roots.toDF("a", "b").union(more))
     least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__cl_row").alias("row"))
     first = fps.join(rows.select("__cl_row", least.alias("least")), fps.id == F.col("__cl_row")).groupBy("fp").agg(F.min("least").alias("least"))
-    roots = connected(links(fps))
     placed = first.join(roots, first.fp == roots.v, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least"))
     return rows.join(placed.select(F.col("least.row").alias("__cl_row")), "__cl_row", "left_semi").select(*docs.columns)

@@ -341,6 +341,30 @@ def test_null_ids_stay(spark):
     assert sorted(r["n_removed"] for r in suffix.without_repeats(led).collect()) == [0, 0, 301, 301]
 
 
+@pytest.mark.parametrize("small", [2, 64])
+def test_near_copies_of_five_word_shingles_go(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(4)
+    rows = []
+    for g in range(30):
+        words = rng.choices([f"w{k}" for k in range(5000)], k=100)
+        for c in range(5):  # similar to the first at 0.8 or more
+            near = words[:]
+            for k in rng.sample((10, 40, 70), c and 1 + c % 2):
+                near[k] = f"new{c}"
+            rows.append((5 * g + c, " ".join(near)))
+        rows.append((1000 + g, " ".join(words[:50] + rng.choices(words, k=50))))
+    sets = {k: simhash.shingles(t) for k, t in rows}
+    home = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(home[a], home[b]), min(home[a], home[b])
+                home = {k: new if v == old else v for k, v in home.items()}
+    got = {r["doc_id"] for r in simhash.leaders(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(home.values()) and len(got) == 60
+
+
 def test_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
 

@@ -1,20 +1,21 @@
 """Toxicity scores: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the n-grams of ``SIZES`` bytes of the text (A-Z lower-cased, white space as space, one
-space on either side), hashed to ``2 ** BITS`` buckets. An occurrence counts with its bucket's log-count ratio
-r = log((p / |p|) / (q / |q|)), p and q being the smoothed occurrences in toxic and other training
-texts. A text's vector is divided by the root of the sum of r squared over its occurrences, so that long
-and short texts compare. On these vectors a logistic regression is fitted (full-batch Adam, L2) over
-the ``FEATURES`` buckets whose ratio is most certain; the other weights are zero.
-
-The fit uses labelled rows with crc32(id) mod 5 <> 0 only, at most ``TRAIN_ROWS`` of them (a documented
-bound on the fit alone: half of it for each label, by least hash of the id). Every text is scored
-whole. Labels, languages and sources are never inputs of a score.
+Features are the n-grams of ``SIZES`` characters (code points) of the text (A-Z lower-cased, white space
+as space, one space on either side), hashed to ``2 ** BITS`` buckets. An occurrence counts with its bucket's
+log-count ratio r = log((p / |p|) / (q / |q|)), p and q being the smoothed occurrences in toxic and other
+training texts. A text's vector is divided by the root of the sum of r squared over its occurrences, so
+that long and short texts compare. On these vectors a logistic regression over all buckets is fitted
+(full-batch Adam, L2), in one executor task; the driver receives the model alone.
+
+The fit uses labelled rows with crc32(id) mod 5 <> 0 only, at most ``TRAIN_ROWS`` of them (half of it for
+each label, by least hash of the id) and, of these, rows by hash that together have at most ``TRAIN_FEATURES``
+distinct buckets, counted by row: documented bounds on the fit alone. Every text is scored whole. Labels, languages and
+sources are never inputs of a score.
 
 Nulls and empty texts are scored like a single space. Rows with a null id are scored and counted as
 held out by the crc32 of the empty string. Repeated rows get one output row each. Without labels of
-both kinds every score is the share of toxic labels (near 0 without labels). An empty table gives an
-empty result. Other columns of the input are ignored, whatever their names.
+both kinds every score is the share of toxic labels (near 0 without labels). A score of exactly 0.5 is
+toxic. An empty table gives an empty result. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,23 +32,25 @@ from corpusloom.llm.common import spread, stored, table, texts
 
 BITS = 18
 SIZES = (3, 4, 5, 6)
-#: Most labelled rows used for the fit.
+#: Most labelled rows used for the fit, and most distinct buckets summed over them.
 TRAIN_ROWS = 4000
-#: Buckets that may have a weight.
-FEATURES = 1 << 14
+TRAIN_FEATURES = 12_000_000
 FOLDS = 5
-#: Tasks that count the labelled rows' features.
+#: Tasks that turn the labelled rows to features.
 PARTS = 8
-#: Bytes of text turned to features at once.
-PIECE = 1 << 18
+#: Characters of text turned to features at once.
+PIECE = 1 << 17
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F), np.uint32(0x165667B1), np.uint32(0x2C1B3C6D))
-_PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_PLAIN = str.maketrans({**{c: c + 32 for c in range(65, 91)}, **{c: 32 for c in range(9, 14)}})
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
 def _slots(data: np.ndarray):
     """(n, bucket of the n-gram at each place) for each size."""
-    part = data.astype(np.uint32)
-    part += np.uint32(1)
+    part = data + np.uint32(1)
     h = part
     for n in range(2, max(SIZES) + 1):
         if len(h) < 2:
@@ -61,20 +64,21 @@ def _slots(data: np.ndarray):
             yield n, mixed
 
 
-def _pieces(texts_: list[bytes]):
-    """(number of the first text, joined bytes, ends of the texts' shares): whole texts together, long ones in parts that overlap."""
+def _pieces(texts_: list[str]):
+    """(number of the first text, [(text, its share of places)]): whole texts together, long ones in parts that overlap."""
     over = max(SIZES) - 1
     first, held, size = 0, [], 0
     for i, text in enumerate(texts_):
-        padded = b" " + text.translate(_PLAIN) + b" "
+        padded = f" {text.translate(_PLAIN)} "
         if size + len(padded) > PIECE and held:
             yield first, held
             first, held, size = i, [], 0
-        while len(padded) > PIECE:
-            yield i, [(padded[: PIECE + over], PIECE)]
-            padded = padded[PIECE:]
-        held.append((padded, len(padded)))
-        size += len(padded)
+        at = 0
+        while len(padded) - at > PIECE:
+            yield i, [(padded[at : at + PIECE + over], PIECE)]
+            at += PIECE
+        held.append((padded[at:], len(padded) - at))
+        size += len(padded) - at
     if held:
         yield first, held
 
@@ -87,13 +91,13 @@ class Model:
     square: np.ndarray
     bias: float
 
-    def scores(self, texts_: list[bytes]) -> np.ndarray:
+    def scores(self, texts_: list[str]) -> np.ndarray:
         total, norm = np.zeros(len(texts_)), np.zeros(len(texts_))
         for first, held in _pieces(texts_):
             lengths = np.array([len(x) for x, _ in held])
             begin = np.cumsum(lengths) - lengths
             starts = np.array([n for _, n in held])  # n-grams that start past this belong to the next part
-            flat = np.frombuffer(b"".join(x for x, _ in held), np.uint8)
+            flat = _points("".join(x for x, _ in held))
             for n, slot in _slots(flat):
                 upto = np.minimum(begin + np.minimum(starts, np.maximum(lengths - n + 1, 0)), len(slot))
                 low = np.minimum(begin, len(slot))
@@ -104,42 +108,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(norm, 1e-9)) + self.bias, -30, 30)))
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of one text and how often each occurs."""
     parts = []
     for _, held in _pieces([text]):
         data, starts = held[0]
-        parts += [np.unique(slot[:starts], return_counts=True) for _, slot in _slots(np.frombuffer(data, np.uint8))]
+        parts += [np.unique(slot[:starts], return_counts=True) for _, slot in _slots(_points(data))]
     found, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     counts = np.bincount(back, np.concatenate([p[1] for p in parts]) if parts else None, len(found))
     return found.astype(np.int32), np.minimum(counts, 1 << 30).astype(np.float32)
 
 
-def counted(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
-    """[3, bucket]: occurrences in toxic texts, in others, and the number of texts."""
-    out = np.zeros((3, 1 << BITS), np.float32)
+def ratios(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """Log-count ratio of each bucket; 0 for those of no row."""
+    counts = np.zeros((2, 1 << BITS))
     for (slots, times), label in zip(rows, labels, strict=True):
-        out[0 if label else 1, slots] += times
-        out[2, slots] += 1
-    return out
-
-
-def ratios(counts: np.ndarray, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(chosen buckets in order, log-count ratio of each): those whose ratio is most certain."""
-    p, q = counts[0] + np.float64(smooth), counts[1] + np.float64(smooth)
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    sure[counts[2] < 3] = 0  # a bucket of one or two texts says nothing of others
-    chosen = np.argsort(-sure, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[sure[chosen] > 0])
-    return chosen, ratio[chosen]
-
-
-def narrowed(row: tuple[np.ndarray, np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A row's chosen buckets, by their number, and occurrences."""
-    at = np.minimum(np.searchsorted(chosen, row[0]), max(0, len(chosen) - 1))
-    keep = chosen[at] == row[0] if len(chosen) else np.zeros(len(at), bool)
-    return at[keep].astype(np.int32), row[1][keep]
+        counts[0 if label else 1, slots] += times
+    p, q = counts + smooth
+    return np.where(counts.any(axis=0), np.log((p / p.sum()) / (q / q.sum())), 0.0)
 
 
 def constant(labels: np.ndarray) -> Model:
@@ -148,37 +134,31 @@ def constant(labels: np.ndarray) -> Model:
     return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), float(np.log(odds / (1 - odds))))
 
 
-def regress(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Model:
-    """Logistic regression on narrowed rows."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Model:
+    """Logistic regression on (buckets, occurrences) of each row."""
     labels = np.asarray(labels, np.float64)
     if not 0 < labels.sum() < len(labels):
         return constant(labels)
+    ratio = ratios(rows, labels).astype(np.float32)
+    size = 1 << BITS
     col = np.concatenate([r[0] for r in rows])
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-    value = np.concatenate([r[1] for r in rows]).astype(np.float32) * ratio[col].astype(np.float32)
-    norm = np.sqrt(np.maximum(np.bincount(owner, value * ratio[col].astype(np.float32), len(rows)), 1e-9)).astype(np.float32)
+    value = np.concatenate([r[1] for r in rows]) * ratio[col]
+    norm = np.sqrt(np.maximum(np.bincount(owner, value * ratio[col], len(rows)), 1e-9)).astype(np.float32)
     value /= norm[owner]
-    w, b = np.zeros(len(chosen)), 0.0
-    m, v, mb, vb = np.zeros(len(chosen)), np.zeros(len(chosen)), 0.0, 0.0
+    w, b = np.zeros(size), 0.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     weigh = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     for step in range(1, rounds + 1):
-        z = np.bincount(owner, value * w[col], len(rows)) + b
+        z = np.bincount(owner, value * w.astype(np.float32)[col], len(rows)) + b
         miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weigh
-        g = np.bincount(col, value * miss[owner], len(chosen)) + decay * w
+        g = np.bincount(col, value * miss.astype(np.float32)[owner], size) + decay * w
         gb = miss.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    weight, square = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
-    weight[chosen], square[chosen] = w * ratio, np.square(ratio)
-    return Model(weight, square, float(b))
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, **more) -> Model:
-    """Fit on (buckets, occurrences) of each row."""
-    chosen, ratio = ratios(counted(rows, labels))
-    return regress([narrowed(r, chosen) for r in rows], labels, chosen, ratio, **more)
+    return Model((w * ratio).astype(np.float32), np.square(ratio), float(b))
 
 
 def _fold(column: str):
@@ -193,35 +173,40 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     chosen = half[0].union(half[1])  # bounded by train_rows
 
     picked = spread(texts(docs, "doc_id", "text")).join(F.broadcast(chosen), "id").select("id", "text", "toxic")
-    picked = stored(picked.repartition(PARTS, "id"), "labelled")
-
-    def rows_of(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [features((x or "").encode()) for x in b["text"].to_pylist()]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum((counted(rows_of(b), b["toxic"].to_pylist()) for b in batches), np.zeros((3, 1 << BITS), np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-    parts = picked.mapInArrow(count, "counts binary").toArrow()["counts"]  # PARTS rows of 3 MB at most
-    buckets, ratio = ratios(sum((np.frombuffer(x.as_buffer(), np.float32).reshape(3, -1) for x in parts), np.zeros((3, 1 << BITS), np.float32)))
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [narrowed(r, buckets) for r in rows_of(b)]
-            yield pa.RecordBatch.from_arrays([b["id"], b["toxic"], *(pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1))], ["id", "toxic", "slots", "times"])
+            got = [features(x or "") for x in b["text"].to_pylist()]
+            sizes = pa.array([len(x[0]) for x in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["id"], b["toxic"], sizes, *(pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1))], ["id", "toxic", "n", "slots", "times"])
 
-    got = picked.mapInArrow(narrow, "id long, toxic int, slots binary, times binary").toArrow().sort_by([("id", "ascending"), ("slots", "ascending")])
-    rows = [(np.frombuffer(x, np.int32), np.frombuffer(y, np.float32)) for x, y in zip(got["slots"].to_pylist(), got["times"].to_pylist(), strict=True)]
-    return regress(rows, got["toxic"].to_numpy(), buckets, ratio)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels, total = [], [], 0
+        for b in batches:
+            for toxic, n, slots, times in zip(*(b[c].to_pylist() for c in ("toxic", "n", "slots", "times")), strict=True):
+                if total + n <= TRAIN_FEATURES:
+                    total += n
+                    rows.append((np.frombuffer(slots, np.int32), np.frombuffer(times, np.float32)))
+                    labels.append(toxic)
+        model = fit(rows, np.array(labels))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([model.square.tobytes()]), pa.array([model.bias])], ["weight", "square", "bias"])
+
+    made = stored(picked.repartition(PARTS, "id").mapInArrow(read, "id long, toxic int, n long, slots binary, times binary"), "features")
+    # train_rows rows at most come to the one task that fits
+    one = made.orderBy(F.xxhash64("id"), "id", "slots").coalesce(1).mapInArrow(learn, "weight binary, square binary, bias double")
+    got = stored(one, "model").first()
+    if got is None:  # no labelled row at all
+        return constant(np.zeros(0))
+    return Model(np.frombuffer(got["weight"], np.float32), np.frombuffer(got["square"], np.float32), got["bias"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` of every whole text. The model (3 MB, whatever the data) is broadcast."""
+    """``(id, score)`` of every whole text. The model (2 MB, whatever the data) is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = sent.value.scores([(x or "").encode() for x in b["text"].to_pylist()])
+            scores = sent.value.scores([x or "" for x in b["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(scores, pa.float64())], ["id", "score"])
 
     return spread(texts(docs, id_col, text_col)).mapInArrow(run, "id long, score double")
@@ -240,7 +225,7 @@ def nontoxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = sent.value.scores([(x or "").encode() for x in b["text"].to_pylist()])
+            scores = sent.value.scores([x or "" for x in b["text"].to_pylist()])
             yield b.filter(pa.array(scores < 0.5))
 
     return spread(docs).mapInArrow(run, schema)

@@ -4,8 +4,10 @@ A text's ids and a closing id 0 are cut, if longer than the token capacity, into
 rest. Pieces go to bins under three capacities: tokens, documents and attention cost (the sum of
 squared lengths). Among the bins with room in every dimension the one with the least weighted norm
 of what would remain is chosen (``norm``), or the one with the greatest weighted dot product of
-piece and residual (``dot``); if none has room a new bin opens. Pieces come longest first. Each
-task packs what it was dealt, as a stream in sorted order: it holds one entry for each open bin.
+piece and residual (``dot``); if none has room a new bin opens. Pieces come longest first. They are
+dealt to groups of about ``GROUP`` capacities, by their number among the stored pieces; a group is packed as a stream in sorted
+order, with one entry held for each open bin. Groups, not tasks, decide the result: it is the same over any
+number of partitions, and the last bins of a group, which may stay open, are few beside its others.
 
 Nulls and empty texts are the closing id alone. Repeated rows are packed each. Ties between bins go to
 the earlier bin, between pieces to the smaller id and piece. An empty table gives an empty result.
@@ -26,15 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import spread, table, texts
+from corpusloom.llm.common import spread, stored, table, texts
 
 CAPACITY = 2048
 #: Never reached by 2048 tokens, so that only tokens bind unless a caller lowers them.
 DOCUMENTS = 2048
 ATTENTION = 2048 * 2048
 WEIGHTS = (1.0, 0.01, 0.01)
-#: Entries of a tokenizer's word cache; it starts afresh when full.
-CACHE = 600_000
+#: Sequences of one group of pieces.
+GROUP = 2048
+#: Bytes of a tokenizer's word cache (words, ids and what an entry takes besides); it starts afresh when full.
+CACHE = 160 << 20
+ENTRY = 200
+#: Longer words are not kept.
+LONG_WORD = 256
 #: White space of the tokenizer (Unicode White_Space), and what str.split() would split at besides.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -64,6 +71,7 @@ class WordTokenizer:
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
         #: Ids of words and of their parts; a part that is itself a word has the same ids as one.
         self.ids: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -76,10 +84,10 @@ class WordTokenizer:
                 continue
             split[i] = words = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
             missing.update(words)
-        missing = [w for w in missing if w not in self.ids]
-        if len(self.ids) > CACHE:
+        if self.held > CACHE:
             self.ids.clear()
-            missing = list({w for words in split.values() for w in words})
+            self.held = 0
+        missing = [w for w in missing if w not in self.ids]
         parts = {w: self.split.findall(w) for w in missing}
         new = list({p for found in parts.values() for p in found if p not in self.ids})
         for p, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
@@ -90,6 +98,11 @@ class WordTokenizer:
         get = self.ids.__getitem__
         for i, words in split.items():
             out[i] = b"".join(map(get, words))
+        for w in {*missing, *new}:
+            if len(w) > LONG_WORD:
+                del self.ids[w]
+            else:
+                self.held += ENTRY + len(w) + len(self.ids[w])
         return out
 
 
@@ -179,19 +192,27 @@ class Bins:
 
 def pack(items: DataFrame, capacity: int = CAPACITY, documents: int = DOCUMENTS, attention: int = ATTENTION, weights: tuple[float, float, float] = WEIGHTS, by: str = "norm") -> DataFrame:
     """Rows with ``length`` (1 to capacity) and ``doc_id, piece``, with ``sequence_id`` and ``offset``."""
+    items = stored(items, "pieces")
+    total = items.agg(F.sum("length")).first()[0] or 0
+    groups = -(-total // (GROUP * capacity)) or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first = TaskContext.get().partitionId() << 40
-        bins = Bins(capacity, documents, attention, weights, by)
+        last, bins = None, None
         for b in batches:
-            placed = [bins.place(n) for n in b["length"].to_pylist()]
-            more = [pa.array([first + p[0] for p in placed], pa.int64()), pa.array([p[1] for p in placed], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "sequence_id", "offset"])
+            numbers, offsets = [], []
+            for g, n in zip(b["__cl_group"].to_pylist(), b["length"].to_pylist(), strict=True):
+                if g != last:
+                    last, bins = g, Bins(capacity, documents, attention, weights, by)
+                number, offset = bins.place(n)
+                numbers.append((g << 32) + number)
+                offsets.append(offset)
+            plain = b.drop_columns(["__cl_group"])
+            yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], [*plain.schema.names, "sequence_id", "offset"])
 
     schema = items.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = items.repartition("doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    # by the row's number, so that rows that repeat are not dealt to one group
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
+    dealt = items.withColumn("__cl_group", group).repartition(groups, "__cl_group").sortWithinPartitions("__cl_group", F.desc("length"), "doc_id", "piece")
     return dealt.mapInArrow(run, schema)
 
 

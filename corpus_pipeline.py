@@ -14,6 +14,10 @@ from corpusloom.llm import packing, quality, simhash, suffix, toxicity
 from corpusloom.llm.common import stored, table
 
 
+#: Most documents of one sequence of the last stage.
+STAGE_DOCUMENTS = 32
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.nontoxic(docs, table(spark, sf_dir, "labels"))
 
@@ -31,7 +35,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def fill_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs))
+    return packing.pack(packing.pieces(docs), documents=STAGE_DOCUMENTS)
 
 
 STAGES = [

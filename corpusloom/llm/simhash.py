@@ -1,16 +1,17 @@
 """SimHash near-duplicate groups, linked by BK-trees over shards of fingerprints.
 
 1. Each text becomes a 64-bit fingerprint (majority bits of XXH64 over word shingles).
-2. Equal fingerprints collapse to one. Those at ``radius`` 3 or fewer differing bits agree on at
-   least two of five bit blocks, so each distinct fingerprint goes to ten shards, one for each
-   pair of blocks (pigeonhole; exact, no pair is lost).
-3. In a shard the fingerprints form a BK-tree (children keyed by the Hamming distance to the
-   parent); searches follow only edges within the radius. A task gets a shard's tree by the
-   shuffle, not by a driver broadcast, for the trees grow with the data. A shard larger than
-   ``block`` is cut into blocks whose pairs are dealt to different tasks, so that no task holds
-   more than two blocks.
-4. A shard yields a spanning star for each of its components (never all pairs); alternating
-   large-star/small-star rounds join the stars to global components. Vertices and fingerprints with
+2. Equal fingerprints collapse to one. Of ``radius + 1`` bit blocks two fingerprints within the radius
+   agree on at least one (of ``radius + 2`` blocks on two), so each goes to one shard for every block, or
+   pair of blocks (pigeonhole; exact, no link is lost). A shard's key has as many bits of a block as
+   leave about ``SHARD`` fingerprints in it.
+3. Each shard is grown into a BK-tree, stored as arrays: a node's children are keyed by their integer
+   Hamming distance to it. A shard of over ``block`` fingerprints has several trees, and each is searched for
+   the fingerprints of all. Searches follow only edges within the radius. The trees hold every fingerprint
+   and grow with the data, so they lie in the shared folder and go to the tasks by shard, never
+   through the driver.
+4. A search yields a spanning star for each component it finds (never all pairs); alternating
+   large-star/small-star rounds join the stars to global components. Shards, vertices and fingerprints with
    a large part of all rows are salted in every join.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. Repeated rows
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,9 @@ from corpusloom.llm.common import hot_join, keyed, spread, stored, table, texts
 
 RADIUS = 3
 SHINGLE = 3
+#: Fingerprints of a shard, about, and most of one tree, about.
+SHARD = 256
 BLOCK = 4096
-#: Widths of the five bit blocks; five blocks, three differing bits: two blocks agree.
-BLOCK_BITS = (13, 13, 13, 13, 12)
 #: Near copies of the pipeline's stage: word shingles, their least similarity, and the min-hashes for candidates.
 NEAR_SHINGLE = 5
 SIMILAR = 0.8
@@ -76,96 +78,126 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKTree:
-    """A BK-tree over distinct 64-bit values, searched by many queries at once."""
+    """A BK-tree over distinct 64-bit values, searched by many queries at once.
 
-    def __init__(self, values: np.ndarray):
-        self.values = np.asarray(values, np.uint64)
-
-    def search(self, queries: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, np.ndarray]]:
-        """(index of a node, indices of the queries within the radius of it).
+    Nodes are numbered level by level, and on a level by parent and distance. ``edges`` holds for each node
+    its parent's number times 65 plus its Hamming distance to the parent (the root: -1), in ascending
+    order, so the children of a node within a range of distances are found by binary search.
+    """
 
-        A node's children are the later values of its subtree by their distance to it, as repeated
-        insertion makes them; they are split off only where some query still follows the edge.
-        """
+    def __init__(self, values: np.ndarray, edges: np.ndarray):
+        self.values, self.edges = values, edges.astype(np.int64)
+
+    @classmethod
+    def grow(cls, values: np.ndarray) -> BKTree:
+        """The tree that inserting the values one after the other makes, grown level by level."""
+        rest, key = np.asarray(values, np.uint64), np.full(len(values), -1, np.int64)
+        nodes, edges, count = [], [], 0
+        while len(rest):
+            first = np.r_[True, key[1:] != key[:-1]]
+            parent = np.cumsum(first) - 1
+            nodes.append(rest[first])
+            edges.append(key[first])
+            far = np.bitwise_count(rest ^ rest[first][parent]).astype(np.int64)
+            key = ((count + parent) * 65 + far)[~first]
+            count += len(nodes[-1])
+            order = np.argsort(key, kind="stable")
+            rest, key = rest[~first][order], key[order]
+        return cls(np.concatenate([np.zeros(0, np.uint64), *nodes]), np.concatenate([np.zeros(0, np.int64), *edges]))
+
+    def search(self, queries: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (number of a query, number of a node) within the radius."""
         queries = np.asarray(queries, np.uint64)
-        todo = [(np.arange(len(self.values)), np.arange(len(queries)))] if len(self.values) and len(queries) else []
-        while todo:
-            nodes, asking = todo.pop()
-            root = nodes[0]
-            far = np.bitwise_count(queries[asking] ^ self.values[root]).astype(np.int16)
-            if (hit := asking[far <= radius]).size:
-                yield int(root), hit
-            if len(nodes) == 1:
-                continue
-            rest = nodes[1:]
-            edges = np.bitwise_count(self.values[rest] ^ self.values[root]).astype(np.int16)
-            order = np.argsort(edges, kind="stable")
-            rest, edges = rest[order], edges[order]
-            cuts = np.flatnonzero(np.diff(edges)) + 1
-            for child, edge in zip(np.split(rest, cuts), edges[np.r_[0, cuts]], strict=True):
-                follow = asking[np.abs(far - edge) <= radius]
-                if follow.size:
-                    todo.append((child, follow))
-
-
-def shard_components(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each value the index of its component's first member, found by a BK-tree over the values."""
-    if len(values) == 2:
-        return np.array([0, 0 if int(values[0] ^ values[1]).bit_count() <= radius else 1])
-    label = np.arange(len(values))
-    for root, hit in BKTree(values).search(values, radius):
-        met = np.unique(np.append(label[hit], label[root]))
-        if len(met) > 1:
-            label[np.isin(label, met[1:])] = met[0]
-    return label
-
-
-def _stars(radius: int):
-    """Sorted shard rows to (a, b) spanning edges; a shard is held only until its last row."""
+        step = max(16, (1 << 21) // max(1, len(self.values)))  # so that what is followed at once stays small
+        for lo in range(0, len(queries) if len(self.values) else 0, step):
+            asking = np.arange(lo, min(lo + step, len(queries)))
+            at = np.zeros(len(asking), np.int64)
+            while len(asking):
+                far = np.bitwise_count(queries[asking] ^ self.values[at]).astype(np.int64)
+                if (hit := far <= radius).any():
+                    yield asking[hit], at[hit]
+                first = np.searchsorted(self.edges, at * 65 + np.maximum(far - radius, 0), "left")
+                n = np.searchsorted(self.edges, at * 65 + np.minimum(far + radius, 64), "right") - first
+                asking = np.repeat(asking, n)
+                at = np.arange(len(asking)) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Put a[k] and b[k] into one component each; label holds the least member of everyone's component."""
+    while (apart := label[a] != label[b]).any():
+        a, b = a[apart], b[apart]
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (up := label[label]).tolist() != label.tolist():
+            label[:] = up
+
+
+def shard_stars(tree: BKTree, queries: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges (a, b) of the components that the queries make with the tree's values."""
+    vertices, back = np.unique(np.concatenate([tree.values, queries]), return_inverse=True)
+    label = np.arange(len(vertices))
+    for q, node in tree.search(queries, radius):
+        merge(label, back[len(tree.values) + q], back[node])
+    own = np.flatnonzero(label != np.arange(len(vertices)))
+    return vertices[own], vertices[label[own]]
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of each part of a shard to its stored tree."""
+    for b in batches:
+        trees = [BKTree.grow(np.sort(v.values.to_numpy().view(np.uint64))) for v in b["fps"]]
+        yield pa.RecordBatch.from_arrays(
+            [b["shard"], b["part"], b["parts"], pa.array([t.values.astype("<u8").tobytes() for t in trees], pa.binary()), pa.array([t.edges.astype("<i4").tobytes() for t in trees], pa.binary())],
+            ["shard", "part", "parts", "nodes", "edges"],
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        last = None
 
-        def close() -> Iterator[pa.RecordBatch]:
-            values = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            held.clear()
-            if len(values) > 1:
-                label = shard_components(values, radius)
-                if (own := np.flatnonzero(label != np.arange(len(values)))).size:
-                    yield pa.RecordBatch.from_arrays([pa.array(values[own].view(np.int64)), pa.array(values[label[own]].view(np.int64))], ["a", "b"])
+def _searched(radius: int):
+    """Trees with the fingerprints to search for, to spanning edges."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b[c].to_numpy() for c in ("t", "key", "i", "j")]
-            fps = b["fp"].to_numpy().view(np.uint64)
-            new = np.any([c[1:] != c[:-1] for c in cols], axis=0) if b.num_rows > 1 else np.zeros(0, bool)
-            cuts = np.r_[0, np.flatnonzero(new) + 1, b.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                head = tuple(int(c[lo]) for c in cols)
-                if head != last:
-                    yield from close()
-                    last = head
-                held.append(fps[lo:hi])
-        yield from close()
+            for nodes, edges, asked in zip(*(b[c].to_pylist() for c in ("nodes", "edges", "asked")), strict=True):
+                found = shard_stars(BKTree(np.frombuffer(nodes, "<u8"), np.frombuffer(edges, "<i4")), np.frombuffer(asked, "<u8"), radius)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], ["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def layout(n: int, radius: int, size: float = SHARD) -> list[list[tuple[int, int]]]:
+    """For each table of shards the bit ranges (first bit, width) that make its key, for n fingerprints."""
+    bits = max(0, ceil(n / size) - 1).bit_length()
+    width = 64 // (radius + 1)
+    if not bits:
+        return [[]]
+    if bits <= width:
+        return [[(k * width, bits)] for k in range(radius + 1)]
+    width = 64 // (radius + 2)
+    return [[(i * width, width), (j * width, width)] for i, j in combinations(range(radius + 2), 2)]
+
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, size: float = SHARD) -> DataFrame:
     """Spanning edges ``(a, b)`` among the distinct values of ``fp`` that connect all within the radius."""
-    if radius != 3:
-        raise ValueError("the shards are laid out for a radius of 3")
-    starts = np.r_[0, np.cumsum(BLOCK_BITS)]
-    masks = [sum(((1 << BLOCK_BITS[k]) - 1) << int(starts[k]) for k in pair) for pair in combinations(range(5), 2)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    keyed = fps.select("fp").distinct().select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    k = F.ceil(F.col("n") / block).cast("int")
-    cut = keyed.join(shared, ["t", "key"]).withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-    dealt = cut.select("t", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    return dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j").mapInArrow(_stars(radius), "a long, b long")
+    fps = stored(fps.select("fp").distinct(), "distinct")
+    tables = layout(n := fps.count(), radius, size)
+
+    def key(t: int, ranges: list[tuple[int, int]]):
+        out = F.lit(t).cast("long")
+        for first, width in ranges:
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        return out
+
+    dealt = fps.select("fp", F.explode(F.array(*(key(t, r) for t, r in enumerate(tables)))).alias("shard"))
+    shards = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    cut = hot_join(dealt, shards, "shard", "n", n * len(tables)).select("shard", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
+    groups = cut.groupBy("shard", "part", "parts").agg(F.collect_list("fp").alias("fps"))
+    trees = stored(groups.mapInArrow(_grown, "shard long, part int, parts int, nodes binary, edges binary"), "trees")
+    # tree i meets the fingerprints of tree j >= i
+    index = trees.select("shard", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), "nodes", "edges")
+    asked = trees.select("shard", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), F.col("nodes").alias("asked"))
+    return index.join(asked, ["shard", "i", "j"]).select("nodes", "edges", "asked").mapInArrow(_searched(radius), "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -66,8 +66,39 @@ def test_bk_tree():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 40, np.uint64)
     values = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 40, np.uint64)) for _ in range(8)]))
-    found = {(n, int(q)) for n, hit in simhash.BKTree(values).search(values, 3) for q in hit}
-    assert found == {(i, j) for i in range(len(values)) for j in range(len(values)) if int(values[i] ^ values[j]).bit_count() <= 3}
+    for radius in (0, 3, 7):
+        tree = simhash.BKTree.grow(rng.permutation(values))
+        for node in range(1, len(values)):  # children are keyed by their distance to the parent, once each
+            parent, edge = divmod(int(tree.edges[node]), 65)
+            assert parent < node and int(tree.values[node] ^ tree.values[parent]).bit_count() == edge
+        assert len(set(tree.edges)) == len(values) and (np.diff(tree.edges) > 0).all()
+        found = [(int(values[q]), int(tree.values[n])) for qs, ns in tree.search(values, radius) for q, n in zip(qs, ns, strict=True)]
+        assert len(found) == len(set(found))
+        assert set(found) == {(int(a), int(b)) for a in values for b in values if int(a ^ b).bit_count() <= radius}
+    assert not list(simhash.BKTree.grow(values[:0]).search(values)) and not list(simhash.BKTree.grow(values).search(values[:0]))
+
+
+@pytest.mark.parametrize(("radius", "size", "block"), [(3, 256, 4096), (3, 2, 4096), (3, 2, 3), (3, 1 << 20, 16), (5, 8, 4096), (3, 1e-9, 4096)])
+def test_links_connect_all_within_the_radius(spark, radius, size, block):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 30, np.uint64)
+    values = base
+    for _ in range(3):
+        values = np.unique(np.concatenate([values, base ^ (np.uint64(1) << rng.integers(0, 64, 30, np.uint64)) ^ (np.uint64(3) << rng.integers(0, 62, 30, np.uint64))]))
+    got = simhash.links(spark.createDataFrame([(int(x),) for x in values.view(np.int64)] * 2, "fp long"), radius, block, size).collect()
+    assert len(simhash.layout(len(values), radius, size)) == {1e-9: 10, 1 << 20: 1}.get(size, 1 if size == 256 else radius + 1)
+    home = {int(x): int(x) for x in values.view(np.int64)}
+
+    def joined(pairs):
+        out = dict(home)
+        for a, b in pairs:
+            old, new = max(out[a], out[b]), min(out[a], out[b])
+            out = {k: new if v == old else v for k, v in out.items()}
+        return out
+
+    signed = values.view(np.int64)
+    near = [(int(a), int(b)) for a in signed for b in signed if a < b and int(np.uint64(int(a) & (1 << 64) - 1) ^ np.uint64(int(b) & (1 << 64) - 1)).bit_count() <= radius]
+    assert joined((r["a"], r["b"]) for r in got) == joined(near)
 
 
 def brute_repeats(rows, width=200):

@@ -13,15 +13,16 @@ Every string of ``min_bytes`` (200) bytes that starts at two places is found, in
    neighbours makes the interval tree. An interval is a repeat group with all its occurrences; it is
    put out if its left extensions differ, or its length has reached ``CAP`` (then the groups to the
    right of it carry on). A group with one left extension lies within the group one byte to the left.
-4. *Hot buckets* are cut into blocks of at most ``BLOCK`` runs. Across blocks, one window per group
-   and the windows without a partner are met by their hash, pre-aggregated before the shuffle.
+4. *Hot buckets* are cut into blocks of about ``BLOCK`` runs. Across blocks, one window per group
+   and the windows without a partner are met by their hash, pre-aggregated before the shuffle; of
+   those that meet, the bytes are read and decide.
 
 The result does not depend on how buckets and blocks fall: the bytes marked are exactly those
 covered by a repeated 200-byte string.
 
-Nulls and empty texts have no bytes: nothing is removed. Null ids are ids of their own. Texts shorter than ``min_bytes`` stay.
-Repeated rows with different ids are equal texts and go entirely; ids must be unique (rows that
-repeat an id give one output row each and count as occurrences). An empty table gives an empty
+Nulls and empty texts have no bytes: nothing is removed. Texts shorter than ``min_bytes`` stay. Every row has a
+key of its own from the scan: ids may be null or repeat, with equal or different texts, and each row gives one
+output row and counts as an occurrence. Equal texts of ``min_bytes`` or more go entirely. An empty table gives an empty
 result. Other columns are ignored, whatever their names.
 """
 
@@ -43,13 +44,11 @@ MIN_BYTES = 200
 CAP = 256
 GRAM = 32
 #: Runs of one bucket that one task sorts together.
-BLOCK = 4096
+BLOCK = 1024
 #: Window starts handled at once; longer texts are cut with an overlap.
 PIECE = 1 << 19
 #: Suffixes sorted at once.
 CHUNK = 100_000
-#: Ids below ``NULL_IDS + 2**56`` are set aside for the rows without one.
-NULL_IDS = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -120,8 +119,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.concat_arrays([pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()), none]),
                     pa.concat_arrays([pa.nulls(sum(map(len, ids)), pa.binary()), pa.array(digests, pa.binary())]),
                     pa.concat_arrays([pa.nulls(sum(map(len, ids)), pa.int64()), pa.array(sizes, pa.int64())]),
+                    pa.concat_arrays([pa.nulls(sum(map(len, ids)), pa.int64()), b["own"]]),
                 ],
-                ["id", "start", "n", "key", "digest", "n_bytes"],
+                ["id", "start", "n", "key", "digest", "n_bytes", "own"],
             )
 
         digest_ids: list[int] = []
@@ -363,15 +363,15 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts' digests, compressed texts with repeats, removed spans by text).
 
-    digests: ``id, digest, n_bytes, copies`` (copies: rows with the same text). kept: ``id, z`` of
-    the texts that hold a repeated anchor and have no copies. found: ``id, start, n``.
+    digests: ``id, own, digest, n_bytes, copies`` (id: the row's key, own: its id, copies: rows with the
+    same text). kept: ``id, z`` of the texts that hold a repeated anchor and have no copies. found: ``id, start, n``.
     """
-    # rows without an id get one of their own, from the scan, so that both readings agree
-    source = spread(texts(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(NULL_IDS) + F.monotonically_increasing_id())))
-    scanned = stored(source.mapInArrow(_anchors, "id long, start long, n int, key long, digest binary, n_bytes long"), "anchors")
-    each = scanned.filter("digest is not null").select("id", "digest", "n_bytes")
+    # a key for each row; both readings take the same columns, so that they agree
+    source = spread(texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("own"), "text"))
+    scanned = stored(source.mapInArrow(_anchors, "id long, start long, n int, key long, digest binary, n_bytes long, own long"), "anchors")
+    each = scanned.filter("digest is not null").select("id", "own", "digest", "n_bytes")
     alike = each.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("leader"))
-    digests = stored(hot_join(each, alike, "digest", "copies", each.count()).select("id", "digest", "n_bytes", "copies", (F.col("id") == F.col("leader")).alias("leads")), "digests")
+    digests = stored(hot_join(each, alike, "digest", "copies", each.count()).select("id", "own", "digest", "n_bytes", "copies", (F.col("id") == F.col("leader")).alias("leads")), "digests")
     runs = scanned.filter("key is not null").select("id", (F.shiftleft("start", 8) + F.col("n")).alias("run"), "key")
     twice = runs.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
     k = F.ceil(F.col("times") / block).cast("int")
@@ -385,11 +385,27 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     marked = stored(dealt.mapInArrow(_repeats, "id long, start long, n int, key long, hash long, found boolean"), "marked")
     within = marked.filter("key is null").select("id", "start", "n")
     windows = marked.filter("key is not null")
-    met = windows.groupBy("key", "hash").agg(F.count("*").alias("times")).filter("times > 1")
-    across = windows.filter("not found").join(met, ["key", "hash"], "left_semi").select("id", "start", F.lit(MIN_BYTES).alias("n"))
+    met = windows.groupBy("key", "hash").agg(F.count("*").alias("times"), F.bool_and("found").alias("done")).filter("times > 1 and not done")
+    asked = windows.join(met, ["key", "hash"], "left_semi").groupBy("id").agg(F.collect_list(F.struct("start", "key", "found")).alias("asked"))
+    shown = stored(held.select("id", "z").join(asked, "id").mapInArrow(_shown, "id long, start long, key long, found boolean, bytes binary"), "shown")
+    same = shown.groupBy("key", "bytes").agg(F.count("*").alias("times")).filter("times > 1")
+    across = shown.filter("not found").join(same, ["key", "bytes"], "left_semi").select("id", "start", F.lit(MIN_BYTES).alias("n"))
     return digests, held.filter("copies = 1").select("id", "z"), within.union(across)
 
 
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with their bytes."""
+    names, kinds = ["id", "start", "key", "found", "bytes"], (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    for b in batches:
+        out: list[list] = [[] for _ in names]
+        for k, z, asked in zip(b["id"].to_pylist(), b["z"].to_pylist(), b["asked"].to_pylist(), strict=True):
+            raw = zstandard.decompress(z)
+            for w in asked:
+                for c, v in zip(out, (k, w["start"], w["key"], w["found"], raw[w["start"] : w["start"] + MIN_BYTES]), strict=True):
+                    c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the union of their spans: (id, n_bytes, n_removed, n_spans, rest)."""
     for b in batches:
@@ -420,7 +436,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     changed = kept.join(cuts, "id").mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, n_spans long, rest binary").drop("n_bytes")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= MIN_BYTES)
     return digests.join(changed, "id", "left").select(
-        F.when(F.col("id") >= NULL_IDS + (1 << 56), F.col("id")).alias("id"), "n_bytes",
+        F.col("own").alias("id"), "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         "rest", "digest",

@@ -61,13 +61,20 @@ def hot_join(rows: DataFrame, by_key: DataFrame, key: str, times: str, total: in
     return salted.join(dealt, [key, "__cl_salt"]).drop("__cl_salt")
 
 
-#: Rows of one Arrow batch, so that long texts do not swell the Python workers.
+#: Most rows and bytes of one Arrow batch, so that long texts do not swell the Python workers.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
+
+
+def batches_of(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the Arrow batches of the plans that follow by rows and bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id long, text string)`` with nulls in the text as empty; other columns are pruned at the scan."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    batches_of(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

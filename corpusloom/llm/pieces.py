@@ -3,27 +3,40 @@
 Encoding: a text gets a leading space, spaces become U+2581, and it falls into words (a run of U+2581
 and what follows up to the next). Distinct words are exploded into their substrings of bounded length,
 equi-joined to the piece table (its size is the model's, so it is broadcast), and the edges grouped by
-word: the words stay where their distinct aggregate put them, so the lattice itself is not
-shuffled. A higher-order aggregate folds the places of a word from left to right, keeping the best score
-of each (Viterbi). A character without a piece takes its UTF-8 byte pieces at ``unknown`` score. The texts' words
-then look their ids up by an equi-join, and each text's ids are put in order.
+word: words are dealt by their key before they are exploded, so the lattice itself is not shuffled. A
+higher-order aggregate folds a word's edges from left to right, keeping the best score of each place
+(Viterbi), and another follows the best edges back. The first holds the scores of the places a piece can reach
+back to, and both add to blocks of ``BLOCK``, so a long word costs time in proportion to its edges. A
+character without a piece takes its UTF-8 byte pieces at ``unknown`` score. The texts' words then look their
+ids up by an equi-join, and each text's ids are put in order.
+
+``viterbi``, the method, finds the pieces of the greatest total score, of equal totals those that the leftmost longer
+edges make. For a model trained by merges (BPE) the library merges pairs by score instead, which gives other
+ids for some words; ``mode="bpe"`` does this with a heap for each word, in Arrow batches.
 
 Decoding: ids are joined to their pieces, bytes put in order, U+2581 turned to spaces, and the leading
 space taken away.
 
 Null and empty texts have no ids. A literal U+2581 decodes to a space, as in the library. Repeated
-rows get one output row each. An empty table gives an empty result. Other columns are ignored,
-whatever their names.
+rows get one output row each. An empty table gives an empty result. Columns ``ids`` and ``score`` of the input are
+replaced; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import spread, stored, table
 
 MARK = "▁"
+#: Characters of a word exploded together, and entries of one block of a fold's state.
+CHUNK = 256
+BLOCK = 64
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -52,126 +65,145 @@ def _words(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"({MARK}+[^{MARK}]*)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
-def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``(word, end, edges array<struct<start, piece_id, score>>)`` from distinct words."""
+def lattice(words: DataFrame, pieces: DataFrame) -> tuple[DataFrame, int]:
+    """``(word_id, edges array<struct<end, start, piece_id, score, char>>)`` by end and start, and the longest piece's length.
+
+    ``words`` is ``(word_id, word)``, distinct; ``char`` is null but for characters without a piece.
+    """
     normal = pieces.filter("kind = 'normal'").select("piece", "piece_id", "score")
-    most = pieces.filter("kind = 'normal'").agg(F.max(F.length("piece")).alias("m"), F.min("score").alias("s")).first()
-    unknown = float(most["s"]) - 10
-    at = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    ends = F.sequence(F.lit(1), F.least(F.lit(int(most["m"])), F.length("word") - F.col("start")))
-    cut = at.select("word", "start", F.explode(ends).alias("n")).withColumn("piece", F.substring("word", F.col("start") + 1, F.col("n")))
+    got = normal.agg(F.max(F.length("piece")).alias("m"), F.min("score").alias("s")).first()
+    most, unknown = int(got["m"] or 1), float(got["s"] or 0.0) - 10
+    chunks = words.repartition("word_id").select("word_id", "word", F.length("word").alias("size"), F.explode(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / CHUNK).cast("int"))).alias("c"))
+    base = F.col("c") * CHUNK
+    chunks = chunks.select("word_id", base.alias("base"), (F.col("size") - base).alias("left"), F.substring("word", base + 1, F.lit(CHUNK + most - 1)).alias("part"))
+    at = chunks.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK), "left") - 1)).alias("i"))
+    cut = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("left") - F.col("i")))).alias("n"))
+    cut = cut.select("word_id", (F.col("base") + F.col("i")).alias("start"), "n", F.substring("part", F.col("i") + 1, F.col("n")).alias("piece"))
     met = cut.join(F.broadcast(normal), "piece", "left").filter("piece_id is not null or n = 1")
-    edge = F.struct((F.col("start") + F.col("n")).alias("end"), "start", F.coalesce("piece_id", F.lit(-1)).alias("piece_id"), F.coalesce("score", F.lit(unknown)).alias("score"))
-    return met.select("word", edge.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    edge = F.struct(
+        (F.col("start") + F.col("n")).alias("end"), "start", F.coalesce("piece_id", F.lit(-1)).alias("piece_id"), F.coalesce("score", F.lit(unknown)).alias("score"),
+        F.when(F.col("piece_id").isNull(), F.col("piece")).alias("char"),
+    )
+    return met.select("word_id", edge.alias("edge")).groupBy("word_id").agg(F.sort_array(F.collect_list("edge")).alias("edges")), most
 
 
-def _fold(edges: Column) -> Column:
-    """Best path: array of (end, start, piece_id) of the pieces, in order.
+_BEST = "struct<start:int,piece_id:int,char:string>"
 
-    The state is the best total and last edge of each place so far; a step is one edge, and edges
-    come by end, then start, so a place is done before any edge leaves it.
-    """
-    best = "struct<total:double,start:int,piece_id:int>"
-    zero = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("start"), F.lit(-2).alias("piece_id"))).cast(f"array<{best}>")
-
-    def step(state: Column, e: Column) -> Column:
-        total = F.get(state, e["start"])["total"] + e["score"]
-        mine = F.struct(total.alias("total"), e["start"].alias("start"), e["piece_id"].alias("piece_id"))
-        return F.when(F.size(state) <= e["end"], F.concat(state, F.array(mine))).when(
-            total > F.get(state, e["end"])["total"], F.concat(F.slice(state, F.lit(1), e["end"]), F.array(mine))
-        ).otherwise(state)
-
-    return F.aggregate(edges, zero, step)
-
-
-def _path(states: Column) -> Column:
-    """Last edges followed back from the end: array of (start, piece_id) in order."""
-    back = F.aggregate(
-        F.reverse(F.sequence(F.lit(1), F.size(states) - 1)),
-        F.struct((F.size(states) - 1).alias("at"), F.array().cast("array<struct<start:int,end:int,piece_id:int>>").alias("found")),
-        lambda s, place: F.when(
-            s["at"] == place,
-            F.struct(
-                F.get(states, place)["start"].alias("at"),
-                F.concat(F.array(F.struct(F.get(states, place)["start"].alias("start"), place.alias("end"), F.get(states, place)["piece_id"].alias("piece_id"))), s["found"]).alias("found"),
-            ),
-        ).otherwise(s),
-    )
-    return back["found"]
-
-
-def _merge(word: Column, edges: Column) -> Column:
-    """Open cuts of a word as a string of 0 and 1, one for each place, after merging by score.
-
-    The rule: merge the best edge that joins two neighbouring pieces (ties: the leftmost), again and
-    again. A pass takes the edges by score; where a merge opens an edge that came earlier, the pass
-    stops and the next starts anew, so every merge is the best one of its time. A word of n
-    characters has n - 1 merges at most, so as many passes are enough; those after the last do nothing.
-    """
-    longer = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
-    order = F.array_sort(F.transform(longer, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["end"].alias("end"))))
 
-    def opens(cuts: Column, e: Column) -> Column:
-        return F.substring(cuts, e["start"] + 1, e["end"] - e["start"] + 1).rlike("^10*10*1$")
+def _added(done: Column, current: Column, item: Column) -> list[Column]:
+    """``done`` and ``current`` after an item more: full blocks go to ``done``, so an item costs a block's length at most."""
+    full = F.size(current) >= BLOCK
+    return [F.when(full, F.concat(done, F.array(current))).otherwise(done).alias("done"), F.when(full, F.array(item)).otherwise(F.concat(current, F.array(item))).alias("current")]
 
-    def state(cuts: Column, at: Column, again: Column) -> Column:
-        return F.struct(cuts.alias("cuts"), at.alias("at"), again.alias("again"))
 
-    def once(o: Column, cuts: Column) -> Column:
-        def step(s: Column, e: Column) -> Column:
-            joined = F.concat(F.substring(s["cuts"], F.lit(1), e["start"] + 1), F.repeat(F.lit("0"), e["end"] - e["start"] - 1), F.substring(s["cuts"], e["end"] + 1, F.length(word)))
-            merged = F.transform(F.array(joined), lambda c: state(c, s["at"] + 1, F.exists(F.slice(o, F.lit(1), s["at"]), lambda x: opens(c, x))))[0]
-            return F.when(s["again"] | ~opens(s["cuts"], e), state(s["cuts"], s["at"] + 1, s["again"])).otherwise(merged)
+def _fold(edges: Column, most: int) -> Column:
+    """Best last edge of each place, ``best array<struct<start, piece_id, char>>``, and the whole word's ``score``.
 
-        return F.aggregate(o, state(cuts, F.lit(0), F.lit(False)), step)
+    A step is one edge, and edges come by end, then start, so a place is done before any edge leaves it.
+    ``window`` holds the best totals of the last places, up to the place reached.
+    """
+    zero = F.struct(
+        F.lit(0).alias("place"), F.array(F.lit(0.0)).alias("window"),
+        F.array().cast(f"array<array<{_BEST}>>").alias("done"), F.array().cast(f"array<{_BEST}>").alias("current"),
+    )
 
-    def passes(o: Column) -> Column:
-        start = state(F.repeat(F.lit("1"), F.length(word) + 1), F.lit(0), F.lit(True))
-        return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda s, _: F.when(s["again"], once(o, s["cuts"])).otherwise(s))["cuts"]
+    def step(s: Column, e: Column) -> Column:
+        last = F.size(s["window"]) - 1
+        total = F.get(s["window"], last - (s["place"] - e["start"])) + e["score"]
+        mine = F.struct(e["start"].alias("start"), e["piece_id"].alias("piece_id"), e["char"].alias("char"))
+        totals = F.concat(s["window"], F.array(total))
+        on = F.struct(e["end"].alias("place"), F.when(last >= most, F.slice(totals, F.lit(2), F.lit(most + 1))).otherwise(totals).alias("window"), *_added(s["done"], s["current"], mine))
+        swap = lambda x, y: F.concat(F.slice(x, F.lit(1), F.size(x) - 1), F.array(y))
+        better = F.struct(s["place"].alias("place"), swap(s["window"], total).alias("window"), s["done"].alias("done"), swap(s["current"], mine).alias("current"))
+        return F.when(e["end"] > s["place"], on).when(total > F.get(s["window"], last), better).otherwise(s)
 
-    return F.transform(F.array(order), passes)[0]
+    return F.aggregate(edges, zero, step, lambda s: F.struct(F.flatten(F.concat(s["done"], F.array(s["current"]))).alias("best"), F.element_at(s["window"], -1).alias("score")))
 
 
-def _pieces_of(cuts: Column, edges: Column) -> Column:
-    """The edges between neighbouring cuts, in order."""
-    return F.array_sort(
-        F.transform(
-            F.filter(edges, lambda e: F.substring(cuts, e["start"] + 1, e["end"] - e["start"] + 1).rlike("^10*1$")),
-            lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["piece_id"].alias("piece_id"), e["score"].alias("score")),
-        )
-    )
+def _path(best: Column) -> Column:
+    """Best edges followed back from the end: array of (start, piece_id, char) in order."""
+    zero = F.struct(F.size(best).alias("at"), F.array().cast(f"array<array<{_BEST}>>").alias("done"), F.array().cast(f"array<{_BEST}>").alias("current"))
 
+    def step(s: Column, place: Column) -> Column:
+        mine = F.get(best, place - 1)
+        return F.when(s["at"] == place, F.struct(mine["start"].alias("at"), *_added(s["done"], s["current"], mine))).otherwise(s)
 
-def vocabulary(words: DataFrame, pieces: DataFrame, mode: str = "bpe") -> DataFrame:
-    """``(word, ids array<int>, score double)`` of distinct words."""
-    first = pieces.filter("kind = 'byte'").agg(F.min("piece_id")).first()[0]
-    if mode == "bpe":
-        folded = lattice(words, pieces).select("word", "edges", _merge(F.col("word"), F.col("edges")).alias("cuts"))
-        ways = folded.select("word", _pieces_of(F.col("cuts"), F.col("edges")).alias("way"))
-        ways = ways.select("word", F.aggregate("way", F.lit(0.0), lambda a, w: a + w["score"]).alias("score"), "way")
-    elif mode == "unigram":
-        folded = lattice(words, pieces).select("word", _fold(F.col("edges")).alias("states"))
-        ways = folded.select("word", F.element_at("states", -1)["total"].alias("score"), _path(F.col("states")).alias("way"))
-    else:
-        raise ValueError(f"no mode {mode}")
+    return F.aggregate(F.sequence(F.size(best), F.lit(1)), zero, step, lambda s: F.reverse(F.flatten(F.concat(s["done"], F.array(s["current"])))))
+
+
+def _viterbi(words: DataFrame, pieces: DataFrame, first: int) -> DataFrame:
+    edges, most = lattice(words, pieces)
+    folded = edges.select("word_id", _fold(F.col("edges"), most).alias("f"))
+    ways = folded.select("word_id", F.col("f.score").alias("score"), _path(F.col("f.best")).alias("way"))
 
     def ids(w: Column) -> Column:
-        raw = F.hex(F.encode(F.substring("word", w["start"] + 1, w["end"] - w["start"]), "UTF-8"))
+        raw = F.hex(F.encode(w["char"], "UTF-8"))
         spelled = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda k: F.conv(F.substring(raw, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + F.lit(first))
         return F.when(w["piece_id"] >= 0, F.array(w["piece_id"])).otherwise(spelled)
 
-    return ways.select("word", F.flatten(F.transform("way", ids)).alias("ids"), "score")
+    return ways.select("word_id", F.flatten(F.transform("way", ids)).alias("ids"), "score")
+
+
+def merged(word: str, pieces: dict[str, tuple[int, float]]) -> list[str]:
+    """The pieces of a word after merging, again and again, the two neighbours whose piece has the best score (ties: the leftmost)."""
+    text, left, right = list(word), list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
+    heap: list[tuple[float, int, int, str]] = []
+
+    def offer(i: int, j: int) -> None:
+        if i >= 0 and j < len(text) and (found := pieces.get(text[i] + text[j])):
+            heapq.heappush(heap, (-found[1], i, j, text[i] + text[j]))
+
+    for i in range(len(text) - 1):
+        offer(i, i + 1)
+    while heap:
+        _, i, j, piece = heapq.heappop(heap)
+        if not text[i] or not text[j] or right[i] != j or text[i] + text[j] != piece:
+            continue  # one of the two was merged since
+        text[i], text[j], right[i] = piece, "", right[j]
+        if right[j] < len(text):
+            left[right[j]] = i
+        offer(left[i], i)
+        offer(i, right[i])
+    return [x for x in text if x]
+
+
+def _bpe(words: DataFrame, pieces: DataFrame, first: int) -> DataFrame:
+    known = {r["piece"]: (r["piece_id"], r["score"]) for r in pieces.filter("kind = 'normal'").select("piece", "piece_id", "score").collect()}  # the model's size
+    unknown = min((s for _, s in known.values()), default=0.0) - 10
+    sent = words.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for b in batches:
+            ids, scores = [], []
+            for word in b["word"].to_pylist():
+                parts = merged(word, table)
+                ids.append([i for x in parts for i in ([table[x][0]] if x in table else [first + c for c in x.encode()])])
+                scores.append(sum(table[x][1] if x in table else unknown for x in parts))
+            yield pa.RecordBatch.from_arrays([b["word_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.float64())], ["word_id", "ids", "score"])
+
+    return words.select("word_id", "word").mapInArrow(run, "word_id long, ids array<int>, score double")
+
+
+def vocabulary(words: DataFrame, pieces: DataFrame, mode: str = "viterbi") -> DataFrame:
+    """``(word, ids array<int>, score double)`` of distinct words."""
+    if mode not in ("viterbi", "bpe"):
+        raise ValueError(f"no mode {mode}")
+    first = pieces.filter("kind = 'byte'").agg(F.min("piece_id")).first()[0]
+    words = stored(words.select("word").withColumn("word_id", F.monotonically_increasing_id()), "words")
+    return words.join((_viterbi if mode == "viterbi" else _bpe)(words, pieces, first or 0), "word_id").select("word", "ids", "score")
 
 
-def encode(rows: DataFrame, text_col: str, pieces: DataFrame, mode: str = "bpe") -> DataFrame:
-    """The rows with ``ids array<int>`` and ``score double`` in place of other columns than those of ``rows``."""
-    kept = stored(spread(rows).withColumn("__cl_row", F.monotonically_increasing_id()), "texts")
-    split = kept.select("__cl_row", _words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w"))
-    known = stored(vocabulary(split.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word"), pieces, mode), "vocabulary")
+def encode(rows: DataFrame, text_col: str, pieces: DataFrame, mode: str = "viterbi") -> DataFrame:
+    """The rows with a key ``__cl_row`` and with ``ids array<int>`` and ``score double``."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = stored(spread(rows.withColumn("__cl_text", text).drop("ids", "score")).withColumn("__cl_row", F.monotonically_increasing_id()), "texts")
+    split = kept.select("__cl_row", _words(F.col("__cl_text")).alias("w"))
+    known = stored(vocabulary(split.select(F.explode("w").alias("word")).distinct(), pieces, mode), "vocabulary")
     met = split.select("__cl_row", F.posexplode("w").alias("at", "word")).join(known, "word")
     got = met.groupBy("__cl_row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("x"), F.sum("score").alias("score"))
     got = got.select("__cl_row", F.flatten("x.ids").alias("ids"), "score")
-    out = kept.join(got, "__cl_row", "left")
+    out = kept.drop("__cl_text").join(got, "__cl_row", "left")
     return out.withColumns({"ids": F.coalesce("ids", F.array().cast("array<int>")), "score": F.coalesce("score", F.lit(0.0))})
 
 

@@ -128,6 +128,23 @@ def test_suffix(docs, empty, block):
     assert suffix.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, suffix.BLOCK])
+def test_suffix_keeps_rows_that_share_an_id(spark, block):
+    rng = random.Random(11)
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    passage = own(60)
+    texts = [(1, f"{own(30)} {passage} {own(20)}"), (1, f"{own(50)} {passage}"), (1, own(80)), (1, None), (None, f"{passage} {own(40)}"), (None, f"{own(9)} {passage}"), (2, own(70))]
+    texts += [(3, f"{own(10 + k)} {passage} {own(k)}") for k in range(9)] + [(2, texts[-1][1])]
+    table = spark.createDataFrame([(*r, 5, "c") for r in texts], "doc_id long, text string, own int, digest string").repartition(4)
+    keyed = [(k, (t or "").encode()) for k, (_, t) in enumerate(texts)]
+    show = lambda x: repr(x)
+    want = sorted(show((texts[k][0], *v[:3])) for k, v in brute_repeats(keyed).items())
+    got = suffix.without_repeats(table, block=block).collect()
+    assert sorted(show((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"])) for r in got) == want
+    left = sorted(show((texts[k][0], v[3].decode() if v[1] else texts[k][1])) for k, v in brute_repeats(keyed).items())
+    assert sorted(show((r["doc_id"], r["text"])) for r in suffix.cut(table).collect()) == left
+
+
 def test_maximal_repeats():
     a, b = bytes(range(65, 91)) * 2, b"xyz"
     texts = [b"1" + a + b"2", b"3" + a + b"4" + b, b"nothing"]
@@ -166,10 +183,40 @@ def test_toxicity(spark, docs, empty):
     scored = toxicity.score(docs, model).toPandas()
     assert len(scored) == docs.count() and scored.score.between(0, 1).all()
     long = "word " * 200_000
-    assert model.scores([long.encode()] * 2)[0] == pytest.approx(model.scores([long.encode()])[0])
+    assert model.scores([long] * 2)[0] == pytest.approx(model.scores([long])[0])
     assert toxicity.score(empty, toxicity.train(empty, table.select("doc_id", "toxic").filter("false"))).count() == 0
 
 
+def plain_grams(text):
+    """Buckets of all n-grams of a text, each hashed on its own."""
+    text = " " + "".join(" " if "\t" <= c <= "\r" else c.lower() if c.isascii() else c for c in text) + " "
+    last = lambda gram: int([s for n, s in toxicity._slots(toxicity._points(gram)) if n == len(gram)][0][0])
+    return Counter(last(text[i : i + n]) for n in toxicity.SIZES for i in range(len(text) - n + 1))
+
+
+def test_toxicity_scores_are_sums_over_character_ngrams(monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 40)
+    monkeypatch.setattr(toxicity, "PART", 30)
+    rng = random.Random(3)
+    texts = ["", "é", "ÀB\tc ß漢字🙂x", "Z" * 200] + ["".join(rng.choices("abcdéñß漢 \n", k=rng.randint(1, 150))) for _ in range(20)]
+    labels = [k % 2 for k in range(len(texts))]
+    rows = [toxicity.features(t) for t in texts]
+    assert [dict(zip(map(int, s), map(int, n), strict=True)) for s, n in rows] == [plain_grams(t) for t in texts]
+    p, q = Counter(), Counter()
+    for t, y in zip(texts, labels, strict=True):
+        (p if y else q).update(plain_grams(t))
+    ratio = toxicity.ratios(rows, labels)
+    size = 1 << toxicity.BITS
+    for k in {*p, *q}:
+        assert ratio[k] == pytest.approx(np.log((p[k] + 1) / (p.total() + size)) - np.log((q[k] + 1) / (q.total() + size)))
+    assert np.count_nonzero(ratio) <= len({*p, *q})
+    model = toxicity.fit(rows, labels)
+    for t, score in zip(texts, model.scores(texts), strict=True):
+        grams = plain_grams(t)
+        z = sum(n * float(model.weight[k]) for k, n in grams.items()) / max(sum(n * ratio[k] ** 2 for k, n in grams.items()), 1e-9) ** 0.5
+        assert score == pytest.approx(1 / (1 + np.exp(-(z + model.bias))), abs=1e-5)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -242,44 +289,83 @@ def test_topk(spark):
     assert not got and topk.top_k(vectors.filter("false"), vectors.filter("false")).count() == 0
 
 
-def test_pieces(spark):
+@pytest.mark.parametrize("mode", ["viterbi", "bpe"])
+def test_pieces(spark, mode):
     from sentencepiece import SentencePieceProcessor
 
     library = SentencePieceProcessor(model_file=pieces.model_path())
-    texts = [None, "", " ", "  two  spaces", "Thing and 漢字 🙂\nline\t", "x" * 60, "naïve café", "same", "same"]
-    table = spark.createDataFrame([(t, 7, "w") for t in texts], "text string, ids int, word string").drop("ids")
+    texts = [None, "", " ", "  two  spaces", "Thing and 漢字 🙂\nline\t", "x" * 60, "naïve café", "same", "same", "a" * 3000 + " é" * 300 + "\0" * 700]
+    # ids, score and word clash with names the operator uses inside
+    table = spark.createDataFrame([(t, 7, "w", 0.5, 3) for t in texts], "text string, ids int, word string, score double, at int")
     pt = pieces.piece_table(spark)
-    coded = pieces.encode(table, "text", pt).cache()
-    for r in coded.collect():
-        assert list(r["ids"]) == library.encode(r["text"] or ""), r["text"]
+    coded = pieces.encode(table, "text", pt, mode).cache()
+    got = coded.collect()
+    assert sorted(r["text"] or "" for r in got) == sorted(t or "" for t in texts) and all((r["word"], r["at"]) == ("w", 3) for r in got)
+    if mode == "bpe":
+        for r in got:
+            assert list(r["ids"]) == library.encode(r["text"] or ""), r["text"]
     back = coded.join(pieces.decode(coded, pt, "__cl_row"), "__cl_row").collect()
-    assert all(r["decoded"] == r["text"] for r in back) and len(back) == 7
-    assert pieces.encode(table.filter("false"), "text", pt).count() == 0
+    assert all(r["decoded"] == r["text"] for r in back) and len(back) == 8
+    assert pieces.encode(table.filter("false"), "text", pt, mode).count() == 0
+
 
+BYTES = [(f"<0x{i:02X}>", 100 + i, 0.0, "byte", bytes([i])) for i in range(256)]
+PIECES = "piece string, piece_id int, score double, kind string, bytes binary"
 
-def test_merges_are_the_best_of_their_time(spark):
-    byte = [(f"<0x{i:02X}>", 100 + i, 0.0, "byte", bytes([i])) for i in range(256)]
+
+def random_models():
     rng = random.Random(9)
-    for _ in range(2):  # scores at random, so that a merge often opens a better one
-        names = {"".join(rng.choices("ab", k=rng.randint(2, 6))) for _ in range(24)}
-        scores = {x: float(-k) for k, x in enumerate(rng.sample(sorted(names), len(names)))} | {"a": -90.0, "b": -91.0}
-        pt = spark.createDataFrame([(x, k, s, "normal", x.encode()) for k, (x, s) in enumerate(scores.items())] + byte, "piece string, piece_id int, score double, kind string, bytes binary")
-        words = {"".join(rng.choices("ab", k=rng.randint(1, 14))) for _ in range(40)}
-        number = {x: k for k, x in enumerate(scores)}
-        for r in pieces.vocabulary(spark.createDataFrame([(w,) for w in words], "word string"), pt).collect():
-            parts = list(r["word"])
+    for _ in range(3):
+        names = sorted({"".join(rng.choices("abé", k=rng.randint(2, 6))) for _ in range(24)})
+        yield rng, {x: -float(k) for k, x in enumerate(rng.sample(names, len(names)), 1)} | {"a": -90.0, "b": -91.0}
+
+
+def test_merges_are_the_best_of_their_time():
+    for rng, scores in random_models():  # scores at random, so that a merge often opens a better one
+        for _ in range(60):
+            word = "".join(rng.choices("abé", k=rng.randint(1, 14)))
+            parts = list(word)
             while joins := [(-scores[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in scores]:
                 i = min(joins)[1]
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            assert list(r["ids"]) == [number[x] for x in parts], r["word"]
+            assert pieces.merged(word, {x: (0, s) for x, s in scores.items()}) == parts
 
 
-def test_viterbi(spark):
-    pt = spark.createDataFrame([("▁", 1, -1.0), ("▁a", 2, -1.5), ("a", 3, -2.0), ("ab", 4, -1.0), ("b", 5, -3.0)], "piece string, piece_id int, score double").selectExpr("*", "'normal' AS kind", "cast(piece AS binary) AS bytes")
-    byte = spark.createDataFrame([(f"<0x{i:02X}>", 100 + i, 0.0, "byte", bytes([i])) for i in range(256)], pt.schema)
-    got = {r["word"]: (list(r["ids"]), r["score"]) for r in pieces.vocabulary(spark.createDataFrame([("▁ab",), ("▁aé",)], "word string"), pt.union(byte), "unigram").collect()}
-    assert got["▁ab"] == ([1, 4], -2.0)
-    assert got["▁aé"][0] == [2, 100 + 0xC3, 100 + 0xA9]
+def test_viterbi_finds_the_best_total(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK", 5)  # words over several chunks and blocks
+    monkeypatch.setattr(pieces, "BLOCK", 3)
+    for rng, scores in random_models():
+        number = {x: k for k, x in enumerate(scores)}
+        pt = spark.createDataFrame([(x, number[x], s, "normal", x.encode()) for x, s in scores.items()] + BYTES, PIECES)
+        words = {"".join(rng.choices("abé", k=rng.randint(1, 12))) for _ in range(60)} | {"".join(rng.choices("abé", k=40))}
+        unknown = min(scores.values()) - 10
+
+        def cost(piece, scores=scores, unknown=unknown):
+            return scores.get(piece, unknown if len(piece) == 1 else None)
+
+        def best(word, cost=cost):  # totals of all ways to each place
+            totals = [0.0]
+            for end in range(1, len(word) + 1):
+                totals.append(max(totals[i] + c for i in range(max(0, end - 6), end) if (c := cost(word[i:end])) is not None))
+            return totals[-1]
+
+        def every(word, cost=cost):
+            return max((sum(cost(x) for x in cut) for cut in cuts(word) if all(cost(x) is not None for x in cut)), default=None)
+
+        def cuts(word):
+            return [[word]] + [[word[:i], *rest] for i in range(1, len(word)) for rest in cuts(word[i:])] if word else [[]]
+
+        spelled = {v: k for k, v in number.items()}
+        got = pieces.vocabulary(spark.createDataFrame([(w,) for w in words], "word string"), pt).collect()
+        assert {r["word"] for r in got} == words
+        for r in got:
+            assert r["score"] == pytest.approx(best(r["word"]))
+            if len(r["word"]) <= 9:
+                assert best(r["word"]) == every(r["word"])
+            parts = b"".join(spelled[i].encode() if i in spelled else bytes([i - 100]) for i in r["ids"])
+            assert parts.decode() == r["word"]
+            n_unknown = sum(i >= 100 for i in r["ids"]) // 2  # é takes two bytes
+            assert r["score"] == pytest.approx(sum(scores[spelled[i]] for i in r["ids"] if i in spelled) + n_unknown * unknown)
 
 
 def test_warc(spark, tmp_path):
@@ -372,9 +458,8 @@ def test_null_ids_stay(spark):
     assert sorted(r["n_removed"] for r in suffix.without_repeats(led).collect()) == [0, 0, 301, 301]
 
 
-@pytest.mark.parametrize("small", [2, 64])
-def test_near_copies_of_five_word_shingles_go(spark, monkeypatch, small):
-    monkeypatch.setattr(simhash, "SMALL", small)
+@pytest.mark.parametrize("group", [2, simhash.GROUP])
+def test_near_copies_of_five_word_shingles_go(spark, group):
     rng = random.Random(4)
     rows = []
     for g in range(30):
@@ -392,7 +477,7 @@ def test_near_copies_of_five_word_shingles_go(spark, monkeypatch, small):
             if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 old, new = max(home[a], home[b]), min(home[a], home[b])
                 home = {k: new if v == old else v for k, v in home.items()}
-    got = {r["doc_id"] for r in simhash.leaders(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"] for r in simhash.leaders(spark.createDataFrame(rows, "doc_id long, text string"), group).collect()}
     assert got == set(home.values()) and len(got) == 60
 
 

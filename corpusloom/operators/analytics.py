@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources import io
 
 
 def doc_profiles(totals: DataFrame, keys: DataFrame) -> DataFrame:
@@ -65,9 +66,10 @@ def graph_edges(top: DataFrame, least: float = 0.1) -> DataFrame:
 
 
 def graph_layout(ids: DataFrame) -> DataFrame:
-    """Nodes on the unit circle, in doc_id order."""
+    """Nodes on the unit circle, in doc_id order, numbered without a single task."""
+    ids = io.numbered(ids.select("doc_id"), "doc_id")
     n = ids.agg(F.count("*").alias("n")).scalar()
-    angle = 2 * F.pi() * (F.row_number().over(Window.orderBy("doc_id")) - 1) / n
+    angle = 2 * F.pi() * F.col("number") / n
     return ids.select("doc_id", F.round(F.cos(angle), 6).alias("x"), F.round(F.sin(angle), 6).alias("y"))
 
 
@@ -92,9 +94,10 @@ def star_clusters(top: DataFrame, ids: DataFrame, least: float = 0.3) -> DataFra
     return linked.unionByName(alone)
 
 
-def kpis(totals: DataFrame) -> DataFrame:
-    """Documents, words, and the sum of the documents' unique terms."""
-    return totals.agg(F.count("*").alias("documents"), F.coalesce(F.sum("total"), F.lit(0)).alias("words"), F.coalesce(F.sum("unique_terms"), F.lit(0)).alias("unique_sum"))
+def kpis(totals: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Documents, words, the sum of the documents' unique terms, and the time of the latest run (null without a history)."""
+    latest = F.lit(None).cast("double") if runs is None else runs.agg(F.max_by("time_ms", "at").alias("t")).scalar()
+    return totals.agg(F.count("*").alias("documents"), F.coalesce(F.sum("total"), F.lit(0)).alias("words"), F.coalesce(F.sum("unique_terms"), F.lit(0)).alias("unique_sum")).withColumn("latest_ms", latest)
 
 
 def speedup(runs: DataFrame) -> DataFrame:

@@ -58,24 +58,24 @@ def doc_totals(docs: DataFrame) -> DataFrame:
     return counted.withColumn("density", T.density(F.col("unique_terms"), F.col("total")))
 
 
-def corpus_totals(docs: DataFrame) -> DataFrame:
-    """One row: documents, words, unique words, average length, density."""
-    post = postings(docs)
-    words = vocabulary(post).agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total_words"), F.count("*").alias("unique_words"))
+def corpus_totals(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """One row: documents, words, unique words, average length, density; from the vocabulary, if it is at hand."""
+    vocab = vocabulary(postings(docs)) if vocab is None else vocab
+    words = vocab.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total_words"), F.count("*").alias("unique_words"))
     n = docs.agg(F.count("*").alias("n")).scalar()
     return words.select(n.alias("total_documents"), "total_words", "unique_words", F.round(F.when(n > 0, F.col("total_words") / n).otherwise(0.0), 6).alias("avg_length"), F.round(T.density(F.col("unique_words"), F.col("total_words")), 6).alias("density"))
 
 
-def top_words(post: DataFrame, n: int = 50) -> DataFrame:
-    """The n most frequent terms with their share of all tokens, ties by term."""
-    vocab = vocabulary(post).select("term", "cf")
-    total = post.agg(F.sum("tf").alias("t")).scalar()
+def top_words(vocab: DataFrame, n: int = 50) -> DataFrame:
+    """The n most frequent terms of a vocabulary with their share of all tokens, ties by term."""
+    vocab = vocab.select("term", "cf")
+    total = vocab.agg(F.sum("cf").alias("t")).scalar()
     return vocab.orderBy(F.desc("cf"), "term").limit(n).select("term", "cf", F.round(F.col("cf") * 100.0 / total, 4).alias("percentage"))
 
 
-def top_counts(post: DataFrame, n: int = 200) -> DataFrame:
+def top_counts(vocab: DataFrame, n: int = 200) -> DataFrame:
     """The n most frequent terms, in alphabetical order."""
-    return top_words(post, n).select("term", "cf").orderBy("term")
+    return top_words(vocab, n).select("term", "cf").orderBy("term")
 
 
 def top_terms_per_doc(post: DataFrame, n: int = 50) -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.stopwords import STOPWORDS
 from corpusloom.operators import analytics, index, search, similarity, suggest, weights
+from corpusloom.sources import io, tables
 
 WORD, QUERY, REPEATED, PHRASE = "energy", "thing nicht avec", "thing thing", '"thing ention"'
+HISTORY = [("2024-03-01 10:00:00", 91, 40.5, 1), ("2024-03-03 09:30:00", 91, 12.25, 4), ("2024-03-02 18:00:00", 90, 20.0, 2)]
 RUNS = [(1, 7.22, 7.22), (4, 7.22, 11.48), (8, 100.0, 10.0)]
 
 
@@ -19,28 +24,36 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _tables(spark: SparkSession, sf_dir: str) -> tables.Tables:
+    """The stored index of the documents, built by the first query that asks for it."""
+    return tables.of(spark, f"{sf_dir}/documents.parquet")
+
+
 def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(_docs(spark, sf_dir))
+    return _tables(spark, sf_dir).postings
+
+
+def _by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables(spark, sf_dir).by_term
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return weights.weights(index.postings(docs), docs)
+    return _tables(spark, sf_dir).weights
 
 
 def _search(query: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _docs(spark, sf_dir)
-        return search.search(weights.weights(index.postings(docs), docs), docs, query)
+        t = _tables(spark, sf_dir)
+        return search.search(t.weights, t.documents, query)
 
     return run
 
 
 def _alike(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Unit vectors of the class representatives, and the members of the classes."""
-    docs = _docs(spark, sf_dir)
-    members = similarity.classes(docs)
-    return similarity.representatives(similarity.unit(weights.weights(index.postings(docs), docs)), members), members
+    t = _tables(spark, sf_dir)
+    members = tables.stored(similarity.classes(t.postings), "classes")
+    return tables.stored(similarity.representatives(similarity.unit(t.weights), members), "vectors"), members
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,13 +61,12 @@ def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return analytics.insights(docs, weights.keywords(weights.weights(index.postings(docs), docs)))
+    return analytics.insights(_docs(spark, sf_dir), weights.keywords(_weights(spark, sf_dir)))
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return analytics.doc_profiles(index.doc_totals(docs), weights.keywords(weights.weights(index.postings(docs), docs)))
+    t = _tables(spark, sf_dir)
+    return analytics.doc_profiles(t.totals, weights.keywords(t.weights))
 
 
 def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +81,89 @@ def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.pairs(_alike(spark, sf_dir)[0]).select("doc_id_1", "doc_id_2", F.round("similarity", 4).alias("similarity"))
 
 
+def _history(spark: SparkSession) -> DataFrame:
+    """A history of three runs, written and read back."""
+    path = f"{tables.shared_dir(spark)}/corpusloom/history-{uuid.uuid4().hex}"
+    for at, documents, millis, processes in HISTORY:
+        io.append_history(spark, path, documents, millis, processes, at)
+    return io.history(spark, path)
+
+
+def _revised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents after those in English were sent again with a longer text."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return io.upsert(rows, rows.filter("lang = 'en'").withColumn("text", F.concat(F.lit("Revised edition. "), "text")), ["doc_id"])
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of the English documents, then of all added to them: those that were there are replaced."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return index.add_documents(index.postings(index.corpus(rows.filter("lang = 'en'"))), index.corpus(rows))
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index of all documents after the English ones were replaced by revised texts."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = f"{tables.shared_dir(spark)}/corpusloom/upserted-{uuid.uuid4().hex}"
+    tables.save(index.corpus(rows), path)
+    revised = rows.filter("lang = 'en'").withColumn("text", F.concat(F.lit("Revised edition. "), F.substring("text", 1, 300)))
+    return tables.upsert(spark, path, index.corpus(revised)).postings
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, as files named by their ids."""
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    return io.manifest_of(_docs(spark, sf_dir).select(name.alias("name"), F.concat(F.lit("/corpus/my files/"), name, F.lit(".txt")).alias("path")))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as a file (with a space in its path), listed in a manifest and read back through it."""
+    folder = f"{tables.shared_dir(spark).removeprefix('file://')}/corpusloom/my files {uuid.uuid4().hex}"
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+
+    def put(batches):
+        fs = pafs.LocalFileSystem() if "://" not in folder else pafs.FileSystem.from_uri(folder)[0]
+        base = folder if "://" not in folder else pafs.FileSystem.from_uri(folder)[1]
+        fs.create_dir(base, recursive=True)
+        for b in batches:
+            lines = []
+            for k, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                with fs.open_output_stream(f"{base}/doc {k}%20.txt", compression=None) as f:
+                    f.write(text.encode())
+                lines.append(f"{k}\tdoc \"{k}\"\t{folder}/doc {k}%20.txt\ttxt\t{len(text.encode())}")
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+
+    docs.mapInArrow(put, "value string").write.text(f"{tables.shared_dir(spark)}/corpusloom/m-{(run := uuid.uuid4().hex)}")
+    got = io.read_manifest(spark, f"{tables.shared_dir(spark)}/corpusloom/m-{run}")
+    return got.select("doc_id", "name", "format", "size_bytes", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+def _vectors_of_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weights of the 50 most frequent words, as vectors in the words' order."""
+    t = _tables(spark, sf_dir)
+    terms = sorted(r["term"] for r in index.top_words(t.vocabulary).collect())
+    return weights.dense_vectors(t.weights, terms).select("doc_id", F.posexplode("vector").alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+def _dense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full matrix, entries of 0 too, of the documents of the ten most similar pairs and the ten first ones."""
+    t = _tables(spark, sf_dir)
+    ids = t.documents.filter("total > 0").select("doc_id").orderBy("doc_id").limit(10)
+    met = _top(spark, sf_dir).select(F.explode(F.array("doc_id_1", "doc_id_2")).alias("doc_id"))
+    ids = tables.stored(ids.union(met).distinct(), "ids")  # 30 at most
+    some = similarity.unit(t.weights).join(F.broadcast(ids), "doc_id")
+    rows = similarity.dense_rows(similarity.matrix(some), ids)
+    return rows.select("i", F.posexplode("row").alias("place", "similarity")).withColumn("similarity", F.round("similarity", 4))
+
+
+def _unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search whose names are known for English documents only."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'")
+    return search.search(_weights(spark, sf_dir), index.corpus(rows), QUERY)
+
+
 def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = index.vocabulary(_post(spark, sf_dir))
+    vocab = _tables(spark, sf_dir).vocabulary
     query = "patheticc worthles"
     return spark.createDataFrame([(query, suggest.suggest(vocab, query))], "query string, suggestion string")
 
@@ -95,17 +188,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "custom_stopwords": lambda s, d: index.tokenised(_docs(s, d), more_stopwords=["Thing", "ention"]).select("doc_id", F.array_join("terms", " ").alias("tokens")),
     "postings": _post,
     "positions": lambda s, d: index.positions(_docs(s, d)).select("doc_id", "term", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions")),
-    "vocabulary": lambda s, d: index.vocabulary(_post(s, d)),
-    "terms_sorted": lambda s, d: index.terms_sorted(_post(s, d)),
+    "vocabulary": lambda s, d: _tables(s, d).vocabulary,
+    "terms_sorted": lambda s, d: index.terms_sorted(_tables(s, d).vocabulary),
     "inverted_index": lambda s, d: index.inverted(_post(s, d)).select("term", F.array_join(F.transform("doc_ids", lambda p: p.cast("string")), ",").alias("doc_ids")),
     "posting_lists": lambda s, d: index.posting_lists(_post(s, d)).select("term", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings")),
-    "corpus_totals": lambda s, d: index.corpus_totals(_docs(s, d)),
-    "doc_stats": lambda s, d: index.doc_totals(_docs(s, d)).withColumn("density", F.round("density", 6)),
+    "corpus_totals": lambda s, d: index.corpus_totals(_tables(s, d).documents, _tables(s, d).vocabulary),
+    "doc_stats": lambda s, d: _tables(s, d).totals.withColumn("density", F.round("density", 6)),
     "doc_profiles": _profiles,
-    "top_words_50": lambda s, d: index.top_words(_post(s, d)),
-    "top_counts_200": lambda s, d: index.top_counts(_post(s, d)),
+    "top_words_50": lambda s, d: index.top_words(_tables(s, d).vocabulary),
+    "top_counts_200": lambda s, d: index.top_counts(_tables(s, d).vocabulary),
     "top_terms_per_doc_50": lambda s, d: index.top_terms_per_doc(_post(s, d)),
-    "tfidf_weights": lambda s, d: _weights(s, d).withColumn("tfidf", F.round("tfidf", 6)),
+    "tfidf_weights": lambda s, d: _weights(s, d).select("doc_id", "term", "tf", F.round("tfidf", 6).alias("tfidf")),
     "keywords_10": lambda s, d: weights.keywords(_weights(s, d)),
     "scores_20": lambda s, d: weights.keywords(_weights(s, d), 20),
     "wordcloud_global": lambda s, d: weights.word_cloud(weights.keywords(_weights(s, d))),
@@ -114,10 +207,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_repeated_term": _search(REPEATED),
     "search_phrase_and": _search(PHRASE),
     "search_no_match": _search("zzzz"),
-    "index_lookup": lambda s, d: index.lookup(_post(s, d), "thing"),
-    "index_and": lambda s, d: index.search_and(_post(s, d), ["thing", "ention", "thing"]),
-    "index_or": lambda s, d: index.search_or(_post(s, d), ["thing", "ention", "thing", "zzzz"]),
-    "document_frequency": lambda s, d: index.document_frequency(_post(s, d), "thing"),
+    "index_lookup": lambda s, d: index.lookup(_by_term(s, d), "thing"),
+    "index_and": lambda s, d: index.search_and(_by_term(s, d), ["thing", "ention", "thing"]),
+    "index_or": lambda s, d: index.search_or(_by_term(s, d), ["thing", "ention", "thing", "zzzz"]),
+    "document_frequency": lambda s, d: index.document_frequency(_by_term(s, d), "thing"),
     "similarity_pairs": _overlap,
     "top_similar_10": _top,
     "near_duplicates_090": _duplicates,
@@ -126,17 +219,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dense_cosine": _vectors,
     "importance_ranking": lambda s, d: analytics.importance(_weights(s, d)),
     "insights": _insights,
-    "kpi_totals": lambda s, d: analytics.kpis(index.doc_totals(_docs(s, d))),
+    "kpi_totals": lambda s, d: analytics.kpis(_tables(s, d).totals, _history(s)),
     "graph_edges": lambda s, d: analytics.graph_edges(_top(s, d)),
-    "graph_layout": lambda s, d: analytics.graph_layout(_weights(s, d).select("doc_id").distinct()),
+    "graph_layout": lambda s, d: analytics.graph_layout(_tables(s, d).documents.filter("total > 0")),
     "name_filter": _names,
     "preview_200": lambda s, d: _docs(s, d).select("doc_id", T.preview(F.col("text")).alias("preview"), T.kilobytes(F.octet_length("text")).alias("kb")),
     "viewer": lambda s, d: analytics.viewer(_docs(s, d), "doc_7").select("doc_id", "doc_name", "text"),
     "valid_docs": lambda s, d: _docs(s, d).select("doc_id", "doc_name"),
     "speedup_metrics": _runs,
     "topics": lambda s, d: analytics.detect_topics(weights.keywords(_weights(s, d))),
-    "clusters": lambda s, d: analytics.star_clusters(_top(s, d), _weights(s, d).select("doc_id").distinct()),
+    "clusters": lambda s, d: analytics.star_clusters(_top(s, d), _tables(s, d).documents.filter("total > 0")),
     "spell_suggest": _suggest,
+    "demo_corpus": lambda s, d: io.demo_corpus(s, 40),
+    "manifest_written": _manifest,
+    "manifest_scan": _scanned,
+    "documents_upsert": lambda s, d: _revised(s, d).select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("md5")),
+    "index_incremental": _grown,
+    "index_upsert": _upserted,
+    "document_lookup": lambda s, d: io.lookup(s.read.parquet(f"{d}/documents.parquet"), 7).select("doc_id", "text"),
+    "documents_scan": lambda s, d: io.summary_of(s.read.parquet(f"{d}/documents.parquet")),
+    "history_scan": lambda s, d: _history(s).select(F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("run_at"), "docs_processed", "time_ms", "processes"),
+    "history_trend": lambda s, d: io.trend(_history(s)).select(F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("run_at"), "processes", "time_ms"),
+    "dense_vectors": _vectors_of_top_words,
+    "similarity_matrix_dense": _dense_matrix,
+    "search_names_missing": _unnamed,
 }
 
 
@@ -164,6 +270,18 @@ _TOP = _PAIRS + ", top AS (SELECT doc_id_1, doc_id_2, round(sim, 4) AS similarit
 _JOINED = "SELECT doc_id, coalesce(array_to_string(terms, ' '), '') AS tokens FROM tok"
 
 
+_REVISED = "FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'Revised edition. ' || substring(text, 1, 300) ELSE text END AS text FROM documents) WHERE"
+# documents in doc_id order: one that no earlier start has reached starts a cluster and takes its partners that are free
+_STARS = (
+    "e AS (SELECT doc_id_1 AS a, doc_id_2 AS b FROM top WHERE similarity > 0.3 UNION SELECT doc_id_2, doc_id_1 FROM top WHERE similarity > 0.3), "
+    "o AS (SELECT a, list(b ORDER BY b) AS bs, row_number() OVER (ORDER BY a) AS k FROM e GROUP BY a), "
+    "s(k, homes) AS (SELECT 0::BIGINT, MAP {}::MAP(BIGINT, BIGINT) UNION ALL SELECT o.k, CASE WHEN map_contains(homes, a) THEN homes ELSE "
+    "map_concat(homes, map_from_entries(list_transform(list_prepend(a, list_filter(bs, lambda x: NOT map_contains(homes, x))), lambda x: {'k': x, 'v': a}))) END FROM s JOIN o ON o.k = s.k + 1), "
+    "z AS (SELECT unnest(map_entries(homes)) AS m FROM (SELECT homes FROM s ORDER BY k DESC LIMIT 1)), c AS (SELECT m.key AS doc_id, m.value AS cluster_id FROM z) "
+    "SELECT coalesce(cluster_id, doc_id) AS cluster_id, doc_id FROM (SELECT DISTINCT doc_id FROM post) LEFT JOIN c USING (doc_id)"
+)
+
+
 def _search_sql(terms: list[str], phrase: bool = False) -> str:
     q = ", ".join(f"('{t}')" for t in terms)
     score = "round(sum(tfidf), 6)" if phrase else "round(sum(tfidf) * (1 + 0.5 * count(*)), 6)"
@@ -172,6 +290,8 @@ def _search_sql(terms: list[str], phrase: bool = False) -> str:
     return f"WITH {_W}, q(term) AS (VALUES {q}), r AS (SELECT doc_id, {score} AS score, count(*) AS match_count FROM w JOIN q USING (term) GROUP BY doc_id {having} {limit}) SELECT doc_id, doc_name, score, match_count FROM r JOIN docs USING (doc_id)"
 
 
+_HISTORY = "h(run_at, docs_processed, time_ms, processes) AS (VALUES " + ", ".join(f"('{a}', CAST({n} AS BIGINT), CAST({t} AS DOUBLE), {p})" for a, n, t, p in HISTORY) + ")"
+_FIXED = "Engines count words over many machines. Partial sums travel, documents stay.", "An index maps terms to documents. Searching reads few of its rows.", "Weights tell rare terms from common ones. Similar vectors point to similar texts."
 _SPEED = ", ".join(f"({p}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for p, a, b in RUNS)
 ORACLE_SQL: dict[str, str] = {
     "tokens_per_doc": f"WITH {_chain()} {_JOINED}",
@@ -210,7 +330,7 @@ ORACLE_SQL: dict[str, str] = {
     "dense_cosine": "WITH p AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1) SELECT vec_id, round(CASE WHEN len(x) <> len(y) OR len(x) = 0 OR list_inner_product(x, x) * list_inner_product(y, y) = 0 THEN 0 ELSE list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))) END, 6) AS cosine FROM p",
     "importance_ranking": f"WITH {_W} SELECT doc_id, round(count(*) + sum(tfidf), 4) AS importance FROM w GROUP BY doc_id",
     "insights": f"WITH {_KEYS} SELECT doc_id, string_agg(term, ', ' ORDER BY rank) AS topics, translate(substring(any_value(text), 1, 200), chr(10), ' ') || '...' AS preview FROM keys JOIN docs USING (doc_id) WHERE rank <= 5 GROUP BY doc_id",
-    "kpi_totals": f"WITH {_TOTALS} SELECT count(*) AS documents, CAST(coalesce(sum(total), 0) AS BIGINT) AS words, CAST(coalesce(sum(unique_terms), 0) AS BIGINT) AS unique_sum FROM tot",
+    "kpi_totals": f"WITH {_TOTALS} SELECT count(*) AS documents, CAST(coalesce(sum(total), 0) AS BIGINT) AS words, CAST(coalesce(sum(unique_terms), 0) AS BIGINT) AS unique_sum, CAST(12.25 AS DOUBLE) AS latest_ms FROM tot",
     "graph_edges": f"WITH {_TOP} SELECT * FROM top WHERE similarity > 0.1",
     "graph_layout": f"WITH {_POST}, i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM post)) SELECT doc_id, round(cos(2 * pi() * i / n), 6) AS x, round(sin(2 * pi() * i / n), 6) AS y FROM i",
     "name_filter": f"WITH {_chain()} SELECT doc_id, doc_name FROM docs WHERE regexp_matches(doc_name, '(?i)DOC_1[0-9]$')",
@@ -218,4 +338,18 @@ ORACLE_SQL: dict[str, str] = {
     "viewer": f"WITH {_chain()} SELECT doc_id, doc_name, text FROM docs WHERE doc_name = 'doc_7'",
     "valid_docs": f"WITH {_chain()} SELECT doc_id, doc_name FROM docs",
     "speedup_metrics": f"WITH r(processes, s, p) AS (VALUES {_SPEED}) SELECT CAST(processes AS INTEGER) AS processes, round(s / p, 4) AS speedup, round(s / p / processes, 4) AS efficiency, round(p * processes - s, 4) AS overhead_ms, round(least(greatest(s / p / processes, 0), 1), 4) AS progress FROM r",
+    "demo_corpus": f"SELECT i AS doc_id, 'demo_' || i AS name, ['{_FIXED[0]}', '{_FIXED[1]}', '{_FIXED[2]}'][i % 3 + 1] AS text FROM range(1, 41) AS r(i)",
+    "manifest_written": f"WITH {_chain()} SELECT row_number() OVER (ORDER BY doc_name || '.txt') AS doc_id, doc_name AS name, '/corpus/my files/' || doc_name || '.txt' AS path, 'txt' AS format, CAST(0 AS BIGINT) AS size_bytes FROM docs",
+    "manifest_scan": f"WITH {_chain()} SELECT doc_id, 'doc \"' || doc_id || '\"' AS name, 'txt' AS format, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, md5(text) AS md5 FROM docs",
+    "documents_upsert": "SELECT doc_id, lang, md5(CASE WHEN lang = 'en' THEN 'Revised edition. ' || text ELSE text END) AS md5 FROM documents",
+    "index_incremental": f"WITH {_POST} SELECT doc_id, term, tf FROM post",
+    "index_upsert": f"WITH {_POST.replace('FROM documents WHERE', _REVISED)} SELECT doc_id, term, tf FROM post",
+    "document_lookup": "SELECT doc_id, text FROM documents WHERE doc_id = 7",
+    "documents_scan": "SELECT doc_id, lang, source, n_chars FROM documents",
+    "history_scan": f"WITH {_HISTORY} SELECT * FROM h",
+    "history_trend": f"WITH {_HISTORY} SELECT run_at, processes, time_ms FROM h",
+    "dense_vectors": f"WITH {_W}, top AS (SELECT term FROM post GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 50), p AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS place FROM top) SELECT doc_id, place, round(coalesce(tfidf, 0), 6) AS value FROM (SELECT DISTINCT doc_id FROM post) CROSS JOIN p LEFT JOIN w USING (doc_id, term)",
+    "similarity_matrix_dense": f"WITH {_TOP}, ids AS (SELECT doc_id_1 AS doc_id FROM top UNION SELECT doc_id_2 FROM top UNION (SELECT DISTINCT doc_id FROM post ORDER BY doc_id LIMIT 10)), spots AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS place FROM ids) SELECT a.doc_id AS i, b.place, CASE WHEN a.doc_id = b.doc_id THEN 1 ELSE round(coalesce(sim, 0), 4) END AS similarity FROM spots a CROSS JOIN spots b LEFT JOIN pairs ON doc_id_1 = least(a.doc_id, b.doc_id) AND doc_id_2 = greatest(a.doc_id, b.doc_id)",
+    "search_names_missing": _search_sql(["thing", "nicht", "avec"]).replace("SELECT doc_id, doc_name, score, match_count FROM r JOIN docs USING (doc_id)", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'doc_' || doc_id ELSE 'Unknown' END AS doc_name, score, match_count FROM r JOIN documents USING (doc_id)"),
+    "clusters": f"WITH RECURSIVE {_TOP}, {_STARS}",
 }

@@ -7,24 +7,26 @@ weight) are added, shifted by each set bit of the weight, into the slices of the
 significant slice downward the rows surely in the top k and those still tied are kept apart; what
 is tied at the last slice has one score, and the smaller ids are taken. Blocks' winners are merged exactly.
 
-The stated queries meet all rows in blocks: row blocks are salted, query blocks go to every salt.
+The stated queries meet all rows in blocks, on a grid of tasks: row blocks are dealt to its columns, query blocks
+to its rows, and both are copied along the other side only. Its shape makes these copies fewest.
 
 Vectors null, empty, or holding null or non-finite components, and rows with a null id, take no
 part. Vectors of another length than the query's are no candidates. A query's own row is the one
 with its id (repeated ids are all left out); repeated query rows are one query. Ties go to the
-smaller id. An empty table gives an empty result. Other columns are ignored, whatever their names.
+smaller id. Components so large that a score may not fit a long raise an error. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import spread, table
+from corpusloom.llm.common import batches_of, spread, stored, table, tidy
 
 SCALE = 256
 TOP = 5
@@ -186,17 +188,27 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """``(id, v array<long>)`` of the vectors that take part."""
     x = F.col(vector_col)
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    return vectors.filter(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("long")).alias("v"))
+    # below this no sum of products passes 2 ** 62
+    most = F.sqrt(F.lit(2.0**62) / F.size(x))
+    whole = lambda e: F.when(F.abs(e.cast("double") * SCALE) < most, F.floor(e.cast("double") * SCALE).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for scores of 64 bits")).cast("long"))
+    return vectors.filter(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """``(query_id, rank, vec_id, score)``; vectors and queries are ``(id, v array<long>)``."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    salts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = spread(vectors).mapInArrow(_blocks(ROW_BLOCK, True), _BLOCK).withColumn("salt", F.pmod("salt", F.lit(salts)))
-    asked = spread(queries.dropDuplicates(["id"])).mapInArrow(_blocks(QUERY_BLOCK, False), _BLOCK).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    found = rows.join(asked, ["dim", "salt"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    batches_of(spark, 64)
+    index = stored(spread(vectors).mapInArrow(_blocks(ROW_BLOCK, True), _BLOCK), "slices")
+    asked = stored(spread(queries.dropDuplicates(["id"])).mapInArrow(_blocks(QUERY_BLOCK, False), _BLOCK), "asked")
+    n_rows, n_asked = (df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (index, asked))
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    down = max(1, round(sqrt(tasks * n_asked / max(1, n_rows))))  # copies of a row block
+    across = max(1, tasks // down)  # copies of a query block
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    cells = ["dim", "x", "y"]  # an explicit number: blocks are few and small, and take long
+    left = index.withColumn("x", F.pmod("salt", F.lit(across))).withColumn("y", every(down)).repartition(across * down, *cells)
+    right = asked.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.pmod("salt", F.lit(down)).alias("y"), every(across).alias("x")).repartition(across * down, *cells)
+    found = left.join(right, cells).mapInArrow(tidy(_search(k)), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BATCH_ROWS, shared_dir, spread, stored, table
+from corpusloom.llm.common import batches_of, folder_of, hot_join, spread, stored, table, tidy
 
 DATE = "2000-01-01T00:00:00Z"
 #: Captures of one compressed index block.
@@ -134,15 +134,18 @@ def _writer(folder: str):
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write all pages; the captures ``(key, archive, offset, length)``."""
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    batches_of(spark)
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     rows = spread(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
-    made = rows.mapInArrow(_responses, "page_id long, url string, sha string, size long, member binary")
+    payload = F.concat_ws(" ", "sha", F.col("size").cast("string"))
+    made = rows.mapInArrow(tidy(_responses), "page_id long, url string, sha string, size long, member binary").withColumn("payload", payload)
     ids = rows.mapInArrow(_shas, "page_id long, sha string, size long")
-    # digests by a scan of their own: members are compressed once, and only they are shuffled
-    leaders = ids.filter("size >= 0").groupBy("sha", "size").agg(F.max("page_id").alias("leader"))
-    joined = made.join(leaders, ["sha", "size"], "left").select("page_id", "url", "sha", "size", "leader", "member")
+    # digests by a scan of their own: members are compressed once, and only they are shuffled; a payload
+    # of very many pages is dealt over several tasks
+    leaders = stored(ids.groupBy(payload.alias("payload")).agg(F.max("page_id").alias("leader"), F.count("*").alias("times")), "leaders")
+    total = leaders.agg(F.sum("times")).first()[0] or 0
+    joined = hot_join(made, leaders, "payload", "times", total).select("page_id", "url", "sha", "size", "leader", "member")
     return stored(joined.mapInArrow(_writer(folder), "key string, archive string, offset long, length long"), "captures")
 
 
@@ -269,8 +272,10 @@ def _look_up(folder: str, shards: list[tuple[str, str, str]]):
 
 def look_up(keys: DataFrame, folder: str, shards: list[tuple[str, str, str]]) -> DataFrame:
     """The records of ``(key)`` rows, each key's captures once; a revisit's payload is null."""
-    dealt = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_look_up(folder, shards), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    # an explicit number, for each small key costs the reading of a record
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.select("key").distinct().repartitionByRange(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(tidy(_look_up(folder, shards)), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def keys_of(pages: DataFrame) -> DataFrame:
@@ -283,6 +288,6 @@ def keys_of(pages: DataFrame) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    folder = f"{shared_dir(spark)}/corpusloom/warc-{uuid.uuid4().hex}"
+    folder = f"{folder_of(spark)}/warc-{uuid.uuid4().hex}"
     shards = write_index(write_archives(pages, folder), folder)
     return look_up(keys_of(pages), folder, shards).drop("payload", "url")

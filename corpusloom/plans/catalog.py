@@ -156,6 +156,12 @@ def _dense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("i", F.posexplode("row").alias("place", "similarity")).withColumn("similarity", F.round("similarity", 4))
 
 
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analytics.detect_topics(weights.keywords(_weights(spark, sf_dir), 5))
+    ids = F.transform("doc_ids", lambda i: i.cast("string"))
+    return found.select("topic_id", F.array_join("keywords", ",").alias("keywords"), F.array_join(ids, ",").alias("doc_ids"), "coherence")
+
+
 def _unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search whose names are known for English documents only."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'")
@@ -227,7 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "viewer": lambda s, d: analytics.viewer(_docs(s, d), "doc_7").select("doc_id", "doc_name", "text"),
     "valid_docs": lambda s, d: _docs(s, d).select("doc_id", "doc_name"),
     "speedup_metrics": _runs,
-    "topics": lambda s, d: analytics.detect_topics(weights.keywords(_weights(s, d))),
+    "topics": _topics,
     "clusters": lambda s, d: analytics.star_clusters(_top(s, d), _tables(s, d).documents.filter("total > 0")),
     "spell_suggest": _suggest,
     "demo_corpus": lambda s, d: io.demo_corpus(s, 40),
@@ -282,6 +288,20 @@ _STARS = (
 )
 
 
+# a topic takes the next free document that shares two words with its words so far; if there is none, the first free document starts the next topic
+_GREEDY = (
+    "d AS MATERIALIZED (SELECT doc_id, list(term) AS ws FROM keys WHERE rank <= 5 GROUP BY doc_id), "
+    "s(step, topic, pos, words, members, taken) AS (SELECT 0, CAST(-1 AS BIGINT), CAST(9e17 AS BIGINT), []::VARCHAR[], []::BIGINT[], []::BIGINT[] UNION ALL "
+    "SELECT step + 1, CASE WHEN j IS NULL THEN topic + 1 ELSE topic END, coalesce(j, sd), CASE WHEN j IS NULL THEN sw ELSE list_distinct(list_concat(words, jw)) END, "
+    "CASE WHEN j IS NULL THEN [sd] ELSE list_append(members, j) END, list_append(taken, coalesce(j, sd)) FROM ("
+    "SELECT step, topic, pos, words, members, taken, min(doc_id) FILTER (fits) AS j, arg_min(ws, doc_id) FILTER (fits) AS jw, min(doc_id) AS sd, arg_min(ws, doc_id) AS sw FROM ("
+    "SELECT s.*, d.*, doc_id > pos AND len(list_intersect(ws, words)) >= 2 AS fits FROM s, d WHERE NOT list_contains(taken, doc_id)) GROUP BY step, topic, pos, words, members, taken) "
+    "WHERE j IS NOT NULL OR topic < 9), "
+    "t AS (SELECT topic AS topic_id, list_sort(arg_max(words, step))[1:10] AS w, arg_max(members, step) AS m FROM s WHERE topic >= 0 GROUP BY topic) "
+    "SELECT topic_id, array_to_string(w, ',') AS keywords, array_to_string(m, ',') AS doc_ids, CAST(len(w) * len(m) AS DOUBLE) AS coherence FROM t"
+)
+
+
 def _search_sql(terms: list[str], phrase: bool = False) -> str:
     q = ", ".join(f"('{t}')" for t in terms)
     score = "round(sum(tfidf), 6)" if phrase else "round(sum(tfidf) * (1 + 0.5 * count(*)), 6)"
@@ -352,4 +372,5 @@ ORACLE_SQL: dict[str, str] = {
     "similarity_matrix_dense": f"WITH {_TOP}, ids AS (SELECT doc_id_1 AS doc_id FROM top UNION SELECT doc_id_2 FROM top UNION (SELECT DISTINCT doc_id FROM post ORDER BY doc_id LIMIT 10)), spots AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS place FROM ids) SELECT a.doc_id AS i, b.place, CASE WHEN a.doc_id = b.doc_id THEN 1 ELSE round(coalesce(sim, 0), 4) END AS similarity FROM spots a CROSS JOIN spots b LEFT JOIN pairs ON doc_id_1 = least(a.doc_id, b.doc_id) AND doc_id_2 = greatest(a.doc_id, b.doc_id)",
     "search_names_missing": _search_sql(["thing", "nicht", "avec"]).replace("SELECT doc_id, doc_name, score, match_count FROM r JOIN docs USING (doc_id)", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'doc_' || doc_id ELSE 'Unknown' END AS doc_name, score, match_count FROM r JOIN documents USING (doc_id)"),
     "clusters": f"WITH RECURSIVE {_TOP}, {_STARS}",
+    "topics": f"WITH RECURSIVE {_KEYS}, {_GREEDY}",
 }

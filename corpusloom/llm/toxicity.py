@@ -20,7 +20,7 @@ toxic. An empty table gives an empty result. Other columns of the input are igno
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import spread, stored, table, texts
+from corpusloom.llm.common import spread, stored, table, texts, tidy
 
 BITS = 18
 SIZES = (3, 4, 5, 6)
 #: Most labelled rows used for the fit, and most distinct buckets summed over them.
 TRAIN_ROWS = 4000
-TRAIN_FEATURES = 12_000_000
+TRAIN_FEATURES = 16_000_000
+#: Entries of the training rows looked at together.
+PART = 500_000
 FOLDS = 5
 #: Tasks that turn the labelled rows to features.
 PARTS = 8
@@ -119,11 +121,36 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), np.minimum(counts, 1 << 30).astype(np.float32)
 
 
-def ratios(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+#: Training rows together: the number of entries of each row, and all their buckets and occurrences.
+Part = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def packed(rows: Iterable[tuple[np.ndarray, np.ndarray]], most: int = PART) -> list[Part]:
+    """Rows in parts of about ``most`` entries; a row's own arrays are let go once its part is full."""
+    parts, held, size = [], [], 0
+
+    def close() -> None:
+        parts.append((np.array([len(r[0]) for r in held]), np.concatenate([r[0] for r in held]), np.concatenate([r[1] for r in held])))
+        held.clear()
+
+    for row in rows:
+        held.append(row)
+        size += len(row[0])
+        if size >= most:
+            close()
+            size = 0
+    if held:
+        close()
+    return parts
+
+
+def ratios(parts: list[Part], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """Log-count ratio of each bucket; 0 for those of no row."""
-    counts = np.zeros((2, 1 << BITS))
-    for (slots, times), label in zip(rows, labels, strict=True):
-        counts[0 if label else 1, slots] += times
+    counts, at = np.zeros((2, 1 << BITS)), 0
+    for sizes, slots, times in parts:
+        toxic = np.repeat(np.asarray(labels[at : at + len(sizes)], bool), sizes)
+        at += len(sizes)
+        counts += [np.bincount(slots, times * which, 1 << BITS) for which in (toxic, ~toxic)]
     p, q = counts + smooth
     return np.where(counts.any(axis=0), np.log((p / p.sum()) / (q / q.sum())), 0.0)
 
@@ -134,31 +161,34 @@ def constant(labels: np.ndarray) -> Model:
     return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), float(np.log(odds / (1 - odds))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Model:
-    """Logistic regression on (buckets, occurrences) of each row."""
+def fit(parts: list[Part], labels: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Model:
+    """Logistic regression on the rows' vectors; a vector is never written out: its ratios and norm act on weights and errors."""
     labels = np.asarray(labels, np.float64)
     if not 0 < labels.sum() < len(labels):
         return constant(labels)
-    ratio = ratios(rows, labels).astype(np.float32)
+    ratio = ratios(parts, labels).astype(np.float32)
+    square = np.square(ratio)
     size = 1 << BITS
-    col = np.concatenate([r[0] for r in rows])
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-    value = np.concatenate([r[1] for r in rows]) * ratio[col]
-    norm = np.sqrt(np.maximum(np.bincount(owner, value * ratio[col], len(rows)), 1e-9)).astype(np.float32)
-    value /= norm[owner]
+    norms = [np.sqrt(np.maximum(np.bincount(np.repeat(np.arange(len(n)), n), times * square[col], len(n)), 1e-9)) for n, col, times in parts]
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     weigh = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     for step in range(1, rounds + 1):
-        z = np.bincount(owner, value * w.astype(np.float32)[col], len(rows)) + b
-        miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weigh
-        g = np.bincount(col, value * miss.astype(np.float32)[owner], size) + decay * w
-        gb = miss.sum()
+        g, gb, at = np.zeros(size), 0.0, 0
+        plain = (w * ratio).astype(np.float32)
+        for (n, col, times), norm in zip(parts, norms, strict=True):
+            owner = np.repeat(np.arange(len(n)), n)
+            z = np.bincount(owner, times * plain[col], len(n)) / norm + b
+            miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[at : at + len(n)]) * weigh[at : at + len(n)]
+            g += np.bincount(col, times * (miss / norm).astype(np.float32)[owner], size)
+            gb += miss.sum()
+            at += len(n)
+        g = g * ratio + decay * w
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return Model((w * ratio).astype(np.float32), np.square(ratio), float(b))
+    return Model((w * ratio).astype(np.float32), square, float(b))
 
 
 def _fold(column: str):
@@ -181,19 +211,23 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
             yield pa.RecordBatch.from_arrays([b["id"], b["toxic"], sizes, *(pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1))], ["id", "toxic", "n", "slots", "times"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels, total = [], [], 0
-        for b in batches:
-            for toxic, n, slots, times in zip(*(b[c].to_pylist() for c in ("toxic", "n", "slots", "times")), strict=True):
-                if total + n <= TRAIN_FEATURES:
-                    total += n
-                    rows.append((np.frombuffer(slots, np.int32), np.frombuffer(times, np.float32)))
-                    labels.append(toxic)
-        model = fit(rows, np.array(labels))
+        labels: list[int] = []
+
+        def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            total = 0
+            for b in batches:
+                for k, (toxic, n) in enumerate(zip(b["toxic"].to_pylist(), b["n"].to_pylist(), strict=True)):
+                    if total + n <= TRAIN_FEATURES:
+                        total += n
+                        labels.append(toxic)
+                        yield np.frombuffer(b["slots"][k].as_py(), np.int32), np.frombuffer(b["times"][k].as_py(), np.float32)
+
+        model = fit(packed(rows()), np.array(labels))
         yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([model.square.tobytes()]), pa.array([model.bias])], ["weight", "square", "bias"])
 
-    made = stored(picked.repartition(PARTS, "id").mapInArrow(read, "id long, toxic int, n long, slots binary, times binary"), "features")
+    made = stored(picked.repartition(PARTS, "id").mapInArrow(tidy(read), "id long, toxic int, n long, slots binary, times binary"), "features")
     # train_rows rows at most come to the one task that fits
-    one = made.orderBy(F.xxhash64("id"), "id", "slots").coalesce(1).mapInArrow(learn, "weight binary, square binary, bias double")
+    one = made.coalesce(1).sortWithinPartitions(F.xxhash64("id"), "id", "n").mapInArrow(tidy(learn), "weight binary, square binary, bias double")
     got = stored(one, "model").first()
     if got is None:  # no labelled row at all
         return constant(np.zeros(0))
@@ -209,7 +243,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores = sent.value.scores([x or "" for x in b["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(scores, pa.float64())], ["id", "score"])
 
-    return spread(texts(docs, id_col, text_col)).mapInArrow(run, "id long, score double")
+    return spread(texts(docs, id_col, text_col)).mapInArrow(tidy(run), "id long, score double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,4 +262,4 @@ def nontoxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = sent.value.scores([x or "" for x in b["text"].to_pylist()])
             yield b.filter(pa.array(scores < 0.5))
 
-    return spread(docs).mapInArrow(run, schema)
+    return spread(docs).mapInArrow(tidy(run), schema)

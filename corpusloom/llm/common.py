@@ -2,31 +2,67 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+
+def folder_of(spark: SparkSession) -> str:
+    """The session's folder for intermediate tables, in the shared folder."""
+    return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+
+
+#: The tables of the scope that is open, and of each scope's last use.
+_open: list[list[str]] = []
+_left: dict[str, list[str]] = {}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = f"{folder_of(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the session's intermediate tables; whoever has written the last result calls it."""
+    _delete(spark, folder_of(spark))
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Delete the intermediate tables of this scope's last use, whose result has been written since, and note those made now.
+
+    Collecting garbage lets Spark delete the shuffles that nothing refers to any more.
+    """
+    for path in _left.pop(name, []):
+        _delete(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _open.append(made := [])
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        _left[name] = made
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,7 +99,7 @@ def hot_join(rows: DataFrame, by_key: DataFrame, key: str, times: str, total: in
 
 #: Most rows and bytes of one Arrow batch, so that long texts do not swell the Python workers.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def batches_of(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -78,6 +114,27 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that an idle Python worker does not hold what its last task took."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches that gives memory back at its end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of an Arrow string or binary column without copying."""
     import pyarrow as pa

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import hot_join, keyed, spread, stored, table, texts
+from corpusloom.llm.common import hot_join, keyed, spread, stored, table, texts, tidy
 
 RADIUS = 3
 SHINGLE = 3
@@ -44,8 +44,11 @@ SIMILAR = 0.8
 BANDS = 32
 BAND_ROWS = 5
 _MULTIPLY = np.random.default_rng(6).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Rows of one key of which all pairs are met at once.
-SMALL = 64
+#: Part of equal min-hashes under which a pair is not looked at: three standard deviations below 0.8, so one pair in
+#: about 1,000 of those at just 0.8 has less, and far fewer of the more similar ones.
+LIKELY = 0.7
+#: Rows of one key that a task compares with one another, about.
+GROUP = 512
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -74,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint((x or "").encode(), shingle) for x in b["text"].to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return spread(texts(docs, id_col, text_col)).mapInArrow(run, "id long, fp long")
+    return spread(texts(docs, id_col, text_col)).mapInArrow(tidy(run), "id long, fp long")
 
 
 class BKTree:
@@ -197,7 +200,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, size: float
     # tree i meets the fingerprints of tree j >= i
     index = trees.select("shard", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), "nodes", "edges")
     asked = trees.select("shard", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), F.col("nodes").alias("asked"))
-    return index.join(asked, ["shard", "i", "j"]).select("nodes", "edges", "asked").mapInArrow(_searched(radius), "a long, b long")
+    return index.join(asked, ["shard", "i", "j"]).select("nodes", "edges", "asked").mapInArrow(tidy(_searched(radius)), "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -253,53 +256,45 @@ def shingles(text: str, size: int = NEAR_SHINGLE) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
-def bands(grams: set[bytes]) -> np.ndarray:
-    """A key for each of ``BANDS`` bands of ``BAND_ROWS`` min-hashes."""
+def bands(grams: set[bytes]) -> tuple[np.ndarray, bytes]:
+    """A key for each of ``BANDS`` bands of ``BAND_ROWS`` min-hashes, and the min-hashes' lowest bytes."""
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(7)), np.uint64, len(grams))
     least = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 512):
         part = hashes[at : at + 512] * _MULTIPLY[:, None]
         least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=1))
     rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64), least.astype(np.uint8).tobytes()
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, fp, whole, bands): whole tells texts of equal words, bands is null without words."""
+    """(id, fp, whole, bands, sketch): whole tells texts of equal words, bands is null without words."""
     for b in batches:
         got = b["text"].to_pylist()
         fps = np.fromiter((fingerprint((x or "").encode()) for x in got), np.uint64, b.num_rows)
         whole = np.fromiter((xxhash.xxh64_intdigest(b" ".join((x or "").encode().lower().split())) for x in got), np.uint64, b.num_rows)
-        keys = [bands(g) if (g := shingles(x or "")) else None for x in got]
-        yield pa.RecordBatch.from_arrays([b["id"], pa.array(fps.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "whole", "bands"])
+        keys = [bands(g) if (g := shingles(x or "")) else (None, None) for x in got]
+        yield pa.RecordBatch.from_arrays(
+            [b["id"], pa.array(fps.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([k[0] for k in keys], pa.list_(pa.int64())), pa.array([k[1] for k in keys], pa.binary())],
+            ["id", "fp", "whole", "bands", "sketch"],
+        )
 
 
-def _pairs(all_pairs: bool):
-    """Rows sorted by key to pairs of one key whose ``root`` differs: all, or in keys of over ``SMALL`` rows those with the first row and the next one."""
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two parts of a key's rows to the pairs of different roots that share ``LIKELY`` of their min-hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            n = len(held)
-            ids, fps, roots = (np.array([r[k] for r in held], np.int64) for k in range(3))
-            whole = n <= SMALL or all_pairs
-            for i in range(n - 1):
-                j = np.arange(i + 1, n if whole or i == 0 else i + 2)
-                if (j := j[roots[j] != roots[i]]).size:
-                    a, b = np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
-                    fa, fb = np.where(ids[j] < ids[i], fps[j], fps[i]), np.where(ids[j] < ids[i], fps[i], fps[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, fa, fb)], ["a", "b", "fa", "fb"])
-
-        for b in batches:
-            for key, *row in zip(*(b[c].to_pylist() for c in ("key", "id", "fp", "root")), strict=True):
-                if key != last:
-                    yield from close()
-                    last, held = key, []
-                held.append(row)
-        yield from close()
+    def columns(rows) -> list[np.ndarray]:
+        return [rows.field(c).to_numpy() for c in ("id", "fp", "root")] + [np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, len(_MULTIPLY))]
 
-    return run
+    for b in batches:
+        for left, right in zip(b["x"], b["y"], strict=True):
+            (ids, fps, roots, sketch), (ids2, fps2, roots2, sketch2) = columns(left.values), columns(right.values)
+            for i in range(len(ids)):
+                j = np.flatnonzero((roots2 != roots[i]) & (ids2 != ids[i]))
+                if (j := j[(sketch2[j] == sketch[i]).mean(axis=1) >= LIKELY]).size:
+                    less = ids2[j] < ids[i]
+                    pair = [np.where(less, ids2[j], ids[i]), np.where(less, ids[i], ids2[j]), np.where(less, fps2[j], fps[i]), np.where(less, fps[i], fps2[j])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["a", "b", "fa", "fb"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,31 +317,42 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     times = pairs.groupBy("a").agg(F.count("*").alias("times"))
     both = pairs.join(text.toDF("b", "y"), "b")
     met = hot_join(both, text.join(times, "a"), "a", "times", pairs.count()).select("a", "x", "y", "fa", "fb")
-    return stored(met.mapInArrow(_similar, "a long, b long").distinct(), "similar")
+    return stored(met.mapInArrow(tidy(_similar), "a long, b long").distinct(), "similar")
+
+
+def _apart(met: DataFrame, roots: DataFrame, sketches: DataFrame, group: int) -> DataFrame:
+    """Pairs of one key that are likely similar and in different groups still, from ``met (key, id, fp)``."""
+    placed = met.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = placed.groupBy("key").agg(F.count("*").alias("times"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "times")
+    mixed = stored(mixed, "mixed")
+    parts = F.ceil(F.col("times") / group).cast("int")
+    cut = hot_join(placed, mixed, "key", "times", mixed.agg(F.sum("times")).first()[0] or 0).select("key", "id", "fp", "root", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    rows = cut.join(sketches, "id").groupBy("key", "part", "parts").agg(F.collect_list(F.struct("id", "fp", "root", "sketch")).alias("rows"))
+    rows = stored(rows, "groups")
+    # part i meets part j >= i, its own included
+    left = rows.select("key", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), F.col("rows").alias("x"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), F.col("rows").alias("y"))
+    return left.join(right, ["key", "i", "j"]).select("x", "y").mapInArrow(tidy(_likely), "a long, b long, fa long, fb long")
 
 
-def leaders(docs: DataFrame) -> DataFrame:
+def leaders(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """One document of each group, with its columns as they are: the one with the least id (null last), of equal ids the first row.
 
     Two texts are linked if their fingerprints are, or if their sets of 5-word shingles have a
     Jaccard similarity of 0.8 or more: candidates share a band of min-hashes (a pair of similarity
-    0.8 has none with a chance of about 3 in a million), and their texts decide. A key of many rows gives a star and a chain
-    first; then all its pairs that are in different groups still.
+    0.8 has none with a chance of about 3 in a million), and their texts decide. First each text of a band's
+    key meets the key's first one; then, in parts of about ``group`` rows, those that are in different groups still.
     """
     rows = keyed(docs)
-    fps = stored(spread(texts(rows, "__cl_row", "text")).mapInArrow(_banded, "id long, fp long, whole long, bands array<long>"), "fps")
+    fps = stored(spread(texts(rows, "__cl_row", "text")).mapInArrow(tidy(_banded), "id long, fp long, whole long, bands array<long>, sketch binary"), "fps")
     one = fps.filter("bands is not null").join(fps.groupBy("whole").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
-    keys = one.select(F.explode("bands").alias("key"), "id", "fp", F.col("fp").alias("root"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stored(keys.join(shared, "key"), "bands")
-    edges = links(fps).union(_verified(met.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs(False), "a long, b long, fa long, fb long"), rows))
-    roots = connected(edges)
-    large = met.filter(F.col("n") > SMALL)
-    if not large.isEmpty():
-        large = large.drop("root").join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        more = _verified(large.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs(True), "a long, b long, fa long, fb long"), rows)
-        if not more.isEmpty():
-            roots = connected(roots.toDF("a", "b").union(more))
+    keys = one.select(F.explode("bands").alias("key"), "id", "fp")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp")).alias("first")).filter("n > 1")
+    met = stored(hot_join(keys, shared, "key", "n", BANDS * fps.count()).select("key", "id", "fp", "first"), "bands")
+    star = met.filter(F.col("id") != F.col("first.id")).select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.fp").alias("fa"), F.col("fp").alias("fb"))
+    roots = connected(links(fps).union(_verified(star, rows)))
+    more = _verified(_apart(met.drop("first"), roots, fps.select("id", "sketch"), group), rows)
+    roots = connected(roots.toDF("a", "b").union(more))
     least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__cl_row").alias("row"))
     first = fps.join(rows.select("__cl_row", least.alias("least")), fps.id == F.col("__cl_row")).groupBy("fp").agg(F.min("least").alias("least"))
     placed = first.join(roots, first.fp == roots.v, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least"))

@@ -7,12 +7,12 @@ Every string of ``min_bytes`` (200) bytes that starts at two places is found, in
    windows have equal anchors. Windows whose anchor's hash occurs once in the corpus cannot repeat.
 2. *Buckets.* Runs of windows with one repeated anchor go, with their bytes, to the anchor's bucket.
    Equal texts send their bytes once.
-3. *Enhanced suffix array.* In a bucket the suffixes are sorted: by their first 200 bytes (equal
-   200-byte prefixes are contiguous; the order among different ones is of no account here), then
-   lexicographically by the next bytes up to ``CAP``. A stack scan over the common-prefix lengths of
-   neighbours makes the interval tree. An interval is a repeat group with all its occurrences; it is
-   put out if its left extensions differ, or its length has reached ``CAP`` (then the groups to the
-   right of it carry on). A group with one left extension lies within the group one byte to the left.
+3. *Enhanced suffix array.* In a bucket the suffixes that share 200 bytes with another (met by a hash, told
+   apart by their bytes) are sorted lexicographically up to ``CAP`` bytes. A stack scan over the common-prefix lengths
+   of neighbours makes the interval tree. An interval is a repeat group with all its occurrences; it is
+   put out if its left extensions differ, or its length has reached ``CAP`` (a longer repeat is
+   the chain of such groups, one for each start; :func:`maximal_repeats` gives it in one). A group with one left
+   extension lies within the group one byte to the left.
 4. *Hot buckets* are cut into blocks of about ``BLOCK`` runs. Across blocks, one window per group
    and the windows without a partner are met by their hash, pre-aggregated before the shuffle; of
    those that meet, the bytes are read and decide.
@@ -37,14 +37,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import hot_join, keyed, spread, stored, table, texts
+from corpusloom.llm.common import hot_join, keyed, spread, stored, table, texts, tidy
 
 MIN_BYTES = 200
 #: Common prefixes are measured up to this length.
 CAP = 256
 GRAM = 32
 #: Runs of one bucket that one task sorts together.
-BLOCK = 1024
+BLOCK = 4096
 #: Window starts handled at once; longer texts are cut with an overlap.
 PIECE = 1 << 19
 #: Suffixes sorted at once.
@@ -248,11 +248,25 @@ def bucket_groups(texts_: list[bytes], starts: np.ndarray, bucket: np.ndarray, f
     paired = np.r_[False, same] | np.r_[same, False]
     alone = order[~paired]
     order = order[paired]
+    # classes of equal prefixes in lexicographic order: by 16 bytes, and by all where these are the same
+    opens = np.r_[True, prefix[order][1:] != prefix[order][:-1]] if len(order) else np.zeros(0, bool)
+    lead = order[opens]
+    words = lambda n, at: np.lib.stride_tricks.sliding_window_view(flat, n)[place[at]].copy().view(">u8")
+    owner, front = bucket[run[lead]], words(16, lead)
+    rank = np.lexsort((front[:, 1], front[:, 0], owner))
+    same = (owner[rank][1:] == owner[rank][:-1]) & (front[rank][1:] == front[rank][:-1]).all(axis=1)
+    if same.any():
+        tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+        whole = words(floor - floor % 8, lead[rank[tied]])
+        rank[tied] = rank[tied][np.lexsort((*whole.T[::-1], owner[rank[tied]]))]
+    number = np.empty(len(rank), np.int64)
+    number[rank] = np.arange(len(rank))
+    sorted_class = number[np.cumsum(opens) - 1]
     tail_words = (cap - floor) // 8
     tail = np.lib.stride_tricks.sliding_window_view(flat, cap - floor)[place[order] + floor].copy()
     tail[np.arange(cap - floor)[None, :] >= (avail[order] - floor)[:, None]] = 0
     cols = tail.view(">u8").astype(np.uint64)
-    order2 = np.lexsort([*(cols[:, k] for k in range(tail_words - 1, -1, -1)), prefix[order]])
+    order2 = np.lexsort([*(cols[:, k] for k in range(tail_words - 1, -1, -1)), sorted_class])
     order, tail = order[order2], tail[order2]
     p = prefix[order]
     lcp = np.zeros(len(order), np.int64)
@@ -267,26 +281,7 @@ def bucket_groups(texts_: list[bytes], starts: np.ndarray, bucket: np.ndarray, f
         lcp[1:] = np.where(equal, np.minimum(floor + more, np.minimum(avail[order][1:], avail[order][:-1])), 0)
     left = np.where(nth[order] > 0, flat[np.maximum(place[order] - 1, 0)].astype(np.int64), -1)
     cls = np.cumsum(lcp < floor)
-    groups = []
-    edges = np.flatnonzero(np.r_[lcp < floor, True])
-    # a class with one common-prefix length is one interval; the others are scanned together
-    if len(order):
-        first, end = edges[:-1], edges[1:]
-        inner = lcp.copy()
-        inner[first] = cap + 1
-        least = np.minimum.reduceat(inner, first)
-        inner[first] = 0
-        most = np.maximum.reduceat(inner, first)
-        flat_class = least >= most
-        differ = np.zeros(len(order) + 1, np.int64)
-        differ[2:] = np.cumsum((left[1:] != left[:-1]) | (left[1:] < 0) | (left[:-1] < 0))
-        simple = flat_class & (end - first > 1) & ((most >= cap) | (differ[end] > differ[first + 1]))
-        groups += [(int(a), int(z), int(m)) for a, z, m in zip(first[simple], end[simple], most[simple], strict=True)]
-        mixed = np.flatnonzero(~flat_class)
-        if len(mixed):
-            take = np.concatenate([np.arange(a, z) for a, z in zip(first[mixed], end[mixed], strict=True)])
-            sub = lcp[take]
-            groups += [(int(take[a]), int(take[z - 1]) + 1, m) for a, z, m in interval_groups(sub, left[take], floor, cap)]
+    groups = interval_groups(lcp, left, floor, cap)
     return np.r_[place[order], place[alone]], groups, np.r_[cls, -np.ones(len(alone), np.int64)], np.r_[p, prefix[alone]]
 
 
@@ -368,7 +363,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     """
     # a key for each row; both readings take the same columns, so that they agree
     source = spread(texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("own"), "text"))
-    scanned = stored(source.mapInArrow(_anchors, "id long, start long, n int, key long, digest binary, n_bytes long, own long"), "anchors")
+    scanned = stored(source.mapInArrow(tidy(_anchors), "id long, start long, n int, key long, digest binary, n_bytes long, own long"), "anchors")
     each = scanned.filter("digest is not null").select("id", "own", "digest", "n_bytes")
     alike = each.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("leader"))
     digests = stored(hot_join(each, alike, "digest", "copies", each.count()).select("id", "own", "digest", "n_bytes", "copies", (F.col("id") == F.col("leader")).alias("leads")), "digests")
@@ -378,11 +373,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     hit = hot_join(runs, twice, "key", "times", runs.count()).select("id", F.struct(F.shiftright("run", 8).alias("start"), F.col("run").bitwiseAND(255).cast("int").alias("n"), "key", F.pmod(F.xxhash64("id"), k).cast("int").alias("block"), (k > 1).alias("cut")).alias("run"))
     by_text = hit.groupBy("id").agg(F.collect_list("run").alias("runs"))
     lead = digests.filter("leads").select("id", "copies")
-    held = source.mapInArrow(_squeezed, "id long, z binary").join(by_text.join(lead, "id"), "id")
+    held = source.mapInArrow(tidy(_squeezed), "id long, z binary").join(by_text.join(lead, "id"), "id")
     held = stored(held, "held")
-    context = held.select("id", "z", "runs").mapInArrow(_contexts, "key long, block int, cut boolean, id long, start long, n int, bytes binary")
+    context = held.select("id", "z", "runs").mapInArrow(tidy(_contexts), "key long, block int, cut boolean, id long, start long, n int, bytes binary")
     dealt = context.repartition("key", "block").sortWithinPartitions("key", "block")
-    marked = stored(dealt.mapInArrow(_repeats, "id long, start long, n int, key long, hash long, found boolean"), "marked")
+    marked = stored(dealt.mapInArrow(tidy(_repeats), "id long, start long, n int, key long, hash long, found boolean"), "marked")
     within = marked.filter("key is null").select("id", "start", "n")
     windows = marked.filter("key is not null")
     met = windows.groupBy("key", "hash").agg(F.count("*").alias("times"), F.bool_and("found").alias("done")).filter("times > 1 and not done")
@@ -433,7 +428,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     digests, kept, found = spans(docs, id_col, text_col, block)
     cuts = found.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
-    changed = kept.join(cuts, "id").mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, n_spans long, rest binary").drop("n_bytes")
+    changed = kept.join(cuts, "id").mapInArrow(tidy(_cut_out), "id long, n_bytes long, n_removed long, n_spans long, rest binary").drop("n_bytes")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= MIN_BYTES)
     return digests.join(changed, "id", "left").select(
         F.col("own").alias("id"), "n_bytes",

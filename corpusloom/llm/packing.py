@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusloom.llm.common import spread, stored, table, texts
+from corpusloom.llm.common import spread, stored, table, texts, tidy
 
 CAPACITY = 2048
 #: Never reached by 2048 tokens, so that only tokens bind unless a caller lowers them.
@@ -37,8 +38,9 @@ ATTENTION = 2048 * 2048
 WEIGHTS = (1.0, 0.01, 0.01)
 #: Sequences of one group of pieces.
 GROUP = 2048
-#: Bytes of a tokenizer's word cache (words, ids and what an entry takes besides); it starts afresh when full.
-CACHE = 160 << 20
+#: Bytes of either half of a tokenizer's word cache (words, ids and what an entry takes besides). When the young half is
+#: full it becomes the old one, whose words are taken over as they are met again.
+CACHE = 32 << 20
 ENTRY = 200
 #: Longer words are not kept.
 LONG_WORD = 256
@@ -69,40 +71,59 @@ class WordTokenizer:
         self.own = Tokenizer.from_file(path)
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
-        #: Ids of words and of their parts; a part that is itself a word has the same ids as one.
-        self.ids: dict[str, bytes] = {}
+        vocabulary = self.own.get_vocab()
+        #: Whether an id ends a word.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        #: Ids of words and of their parts, in use lately and before; a part that is itself a word has the same ids as one.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part: many are encoded as one text, which falls at the ids that end a word."""
+        out: list[bytes] = []
+        for lo in range(0, len(parts), 10_000):
+            some = parts[lo : lo + 10_000]
+            ids = np.asarray(self.own.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) == len(some):
+                raw = ids.tobytes()
+                out += [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+            else:
+                out += [np.asarray(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list = [None] * len(batch)
-        split, missing = {}, set()
+        split, wanted = {}, set()
         for i, text in enumerate(batch):
             odd = not text.isascii() and any(unicodedata.category(c) == "Cn" or c in "Σİ" for c in set(text))
             if odd or any(s in text for s in self.special) or any(c in text for c in _ODD):
                 out[i] = np.asarray(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
             split[i] = words = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
-            missing.update(words)
+            wanted.update(words)
         if self.held > CACHE:
-            self.ids.clear()
-            self.held = 0
-        missing = [w for w in missing if w not in self.ids]
-        parts = {w: self.split.findall(w) for w in missing}
-        new = list({p for found in parts.values() for p in found if p not in self.ids})
-        for p, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.ids[p] = np.asarray(e.ids, "<u4").tobytes()
-        for w, found in parts.items():
-            if len(found) != 1 or found[0] != w:
-                self.ids[w] = b"".join([self.ids[p] for p in found])
-        get = self.ids.__getitem__
+            self.young, self.old, self.held = {}, self.young, 0
+        young, old = self.young, self.old
+        wanted.difference_update(young)
+        found = {w: old[w] for w in wanted if w in old}
+        wanted.difference_update(found)
+        # letters alone are one part
+        parts = {w: self.split.findall(w) for w in wanted if not w.isalpha()}
+        new = list({p for some in parts.values() for p in some if p not in young and p not in found} | {w for w in wanted if w not in parts})
+        found.update(zip(new, self._parts(new), strict=True))
+        young.update(found)
+        for w, some in parts.items():
+            found[w] = young[w] = b"".join([young[p] for p in some])
+        get = young.__getitem__
         for i, words in split.items():
             out[i] = b"".join(map(get, words))
-        for w in {*missing, *new}:
-            if len(w) > LONG_WORD:
-                del self.ids[w]
-            else:
-                self.held += ENTRY + len(w) + len(self.ids[w])
+        self.held += ENTRY * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+        for w in [w for w in found if len(w) > LONG_WORD]:
+            self.held -= ENTRY + len(w) + len(young.pop(w))
         return out
 
 
@@ -131,7 +152,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, i
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return spread(texts(docs, id_col, text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return spread(texts(docs, id_col, text_col)).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass
@@ -209,7 +230,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, documents: int = DOCUMENTS,
             plain = b.drop_columns(["__cl_group"])
             yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], [*plain.schema.names, "sequence_id", "offset"])
 
-    schema = items.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*items.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     # by the row's number, so that rows that repeat are not dealt to one group
     group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     dealt = items.withColumn("__cl_group", group).repartition(groups, "__cl_group").sortWithinPartitions("__cl_group", F.desc("length"), "doc_id", "piece")

@@ -157,6 +157,25 @@ def test_maximal_repeats():
         assert len(left) > 1 and len(right) > 1
 
 
+def test_the_suffix_array_is_in_lexicographic_order():
+    rng = random.Random(7)
+    part = bytes(rng.choices(b"ab\0\xff", k=300))
+    texts = [bytes(rng.choices(b"ab", k=rng.randint(0, 60))) + part[: rng.randint(20, 300)] for _ in range(30)] + [b"a" * 90, b"ab" * 50]
+    for floor in (8, 16, 24):
+        used = [t for t in texts if len(t) >= floor]
+        cap = floor + 32
+        place, groups, cls, _ = suffix.bucket_groups(used, np.array([len(t) - floor + 1 for t in used]), np.zeros(len(used), np.int64), floor, cap)
+        ends = np.cumsum([len(t) for t in used])
+        flat = b"".join(used)
+        own = lambda p: flat[p : min(p + cap, ends[np.searchsorted(ends, p, "right")])]  # noqa: E731, B023
+        suffixes = [own(p) for p, c in zip(place, cls, strict=True) if c >= 0]
+        assert all(a.ljust(cap, b"\0") <= b.ljust(cap, b"\0") for a, b in zip(suffixes, suffixes[1:], strict=False))
+        assert Counter(x[:floor] for x in suffixes) == {k: n for k, n in Counter(t[i : i + floor] for t in used for i in range(len(t) - floor + 1)).items() if n > 1}
+        for lo, hi, n in groups:  # intervals: all that share n bytes, and no more at both ends
+            assert len({x[:n] for x in suffixes[lo:hi]}) == 1 and hi - lo > 1
+            assert all(k < 0 or k >= len(suffixes) or suffixes[k][:n] != suffixes[lo][:n] or len(suffixes[k]) < n for k in (lo - 1, hi))
+
+
 def test_quality(spark, docs, empty):
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text", "source").toPandas())
@@ -196,7 +215,6 @@ def plain_grams(text):
 
 def test_toxicity_scores_are_sums_over_character_ngrams(monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE", 40)
-    monkeypatch.setattr(toxicity, "PART", 30)
     rng = random.Random(3)
     texts = ["", "é", "ÀB\tc ß漢字🙂x", "Z" * 200] + ["".join(rng.choices("abcdéñß漢 \n", k=rng.randint(1, 150))) for _ in range(20)]
     labels = [k % 2 for k in range(len(texts))]
@@ -205,12 +223,14 @@ def test_toxicity_scores_are_sums_over_character_ngrams(monkeypatch):
     p, q = Counter(), Counter()
     for t, y in zip(texts, labels, strict=True):
         (p if y else q).update(plain_grams(t))
-    ratio = toxicity.ratios(rows, labels)
+    parts = toxicity.packed(rows, 30)
+    assert len(parts) > 3
+    ratio = toxicity.ratios(parts, labels)
     size = 1 << toxicity.BITS
     for k in {*p, *q}:
         assert ratio[k] == pytest.approx(np.log((p[k] + 1) / (p.total() + size)) - np.log((q[k] + 1) / (q.total() + size)))
     assert np.count_nonzero(ratio) <= len({*p, *q})
-    model = toxicity.fit(rows, labels)
+    model = toxicity.fit(parts, labels)
     for t, score in zip(texts, model.scores(texts), strict=True):
         grams = plain_grams(t)
         z = sum(n * float(model.weight[k]) for k, n in grams.items()) / max(sum(n * ratio[k] ** 2 for k, n in grams.items()), 1e-9) ** 0.5
@@ -287,6 +307,9 @@ def test_topk(spark):
         want = sorted(((int(v @ fine[q]), i) for i, v in fine.items() if i != q and len(v) == len(fine[q])), key=lambda x: (-x[0], x[1]))[:5]
         assert got.pop(q, []) == [(i, s) for s, i in want]
     assert not got and topk.top_k(vectors.filter("false"), vectors.filter("false")).count() == 0
+    for big in (1e30, -1e15):
+        with pytest.raises(Exception, match="too large"):
+            topk.quantised(spark.createDataFrame([(1, [big, 0.0])], "vec_id long, embedding array<double>")).collect()
 
 
 @pytest.mark.parametrize("mode", ["viterbi", "bpe"])
@@ -400,7 +423,69 @@ def test_wrapper(spark):
     assert {k: r["text"] for k, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
     a, b = (wrapper.stream(wrapper.read(page(x))) for x in ("<p>a</p><p>b</p>", "<p>a</p><table><tr><td>c</td></tr></table>"))
     both = wrapper.align(a, b)
-    assert wrapper.slots(a) | wrapper.slots(b) == wrapper.slots(both) and wrapper.align(both, a) == both
+    names = lambda w: [wrapper.key(n) for n in w]
+    assert names(wrapper.align(both, a)) == names(wrapper.align(both, b)) == names(both) != names(a)
+
+
+def test_common_subsequences_are_longest():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abcd", k=rng.randint(0, 40))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        got = wrapper.common(list(a), list(b))
+        assert len(got) == best[0][0] and all(a[i] == b[j] for i, j in got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+    x = [str(k % 977) for k in range(6000)]
+    assert len(wrapper.common(x, x[3:3000] + ["new"] + x[3000:])) == 5997
+
+
+def test_folding():
+    shape = lambda html: [wrapper.key(n) for n in wrapper.stream(wrapper.read(html))]
+    one = "".join(f"<{x}>t</{x}>" for x in ("h2", "p", "ul", "pre", "dl", "h3", "div", "ol", "p", "table", "h4", "p", "section", "h5", "p"))  # 15 siblings
+    assert len(shape(one * 2)) == len(shape(one * 7)) == 1 and shape(one * 2) == shape(one * 7) and shape(one)[0] != shape(one * 2)[0]
+    assert shape("<ul><li>a<li>b</ul>") == shape("<ul><li>c<li>d<li>e</ul>") != shape("<ul><li>a</ul>")
+    assert shape("<p>a</p><p>b<p>c<hr>") == shape("<p>a</p><p>b<hr>")
+    assert shape("") == [] and len(shape("x" * 10)) == 1
+
+
+def test_the_wrapper_decides_without_telling_names(spark):
+    """Notices and menus in plain elements: what is the same text on a host's pages is the template's, found by aligning them."""
+    rng = random.Random(12)
+    say = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12))
+    menu = "<div class=x1><ul><li><a href=/>Start</a><li>Prices</ul></div>"
+    notice = "<div>We keep <b>crumbs</b> of your visit</div>"
+    rows, want = [], {}
+    for k in range(8):
+        parts = [say() for _ in range(2 + k % 3)]
+        # the notice stands on some pages only, in an element as the text's own
+        rows.append((k, f"http://plain.example/{k}", f"<body>{menu if k != 5 else ''}{notice if k % 2 else ''}<h1>Title {k}</h1><div>{parts[0]}</div><p>All rights kept</p>" + "".join(f"<section><p>{x}</p></section>" for x in parts[1:]) + "</body>"))
+        want[k] = "\n\n".join([f"Title {k}", *parts])
+    rows.append((20, "http://pair.example/1", "<div>Same text</div><p>one</p>"))  # two pages may be copies of each other
+    rows.append((21, "http://pair.example/2", "<div>Same text</div><p>two</p>"))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.main_texts(table).collect()}
+    assert got == want | {20: "Same text\n\none", 21: "Same text\n\ntwo"}
+    alone = {k: wrapper.main_text(h) for k, _, h in rows if k < 20}
+    assert all(alone[k] != want[k] for k in alone)  # without the host's wrapper the template's texts stay
+    # the notice's place has other texts on pages without it, so that only the alignment tells it from them
+    by_place = Counter((place, x) for k, _, h in rows if k < 20 for kind, x, place in wrapper.placed(wrapper.read(h)) if kind == "#")
+    on = {p: sum(any(kind == "#" and place == p for kind, _, place in wrapper.placed(wrapper.read(h))) for k, _, h in rows if k < 20) for p, _ in by_place}
+    assert [n < on[p] for (p, x), n in by_place.items() if "crumbs" in x] == [True]
+    few = wrapper.wrappers(table.select("page_id", "url", "html"), 2).collect()  # rounds of two streams
+    assert {r["host"] for r in few} == {"plain.example", "pair.example"} and len(few) == 2
+
+
+def test_wrapper_odd_pages(spark):
+    deep = "<div>" * 20_000 + "deep"
+    many = "".join(f"<h{1 + k * k % 5}>{k}</h{1 + k * k % 5}>" for k in range(2000))
+    rows = [(1, "http://o.example/", deep), (1, "http://o.example/", deep), (2, "http://o.example/", many), (3, "http://o.example/", ""), (None, "http://[", "<p>x")]
+    schema = "page_id long, url string, html string"
+    got = Counter((r["page_id"], r["text"][:9], r["n_chars"]) for r in wrapper.main_texts(spark.createDataFrame(rows, schema)).collect())
+    assert got == Counter([(1, "deep", 4), (1, "deep", 4), (2, "0\n\n1\n\n2\n\n", sum(len(str(k)) for k in range(2000)) + 2 * 1999), (3, "", 0), (None, "x", 1)])
+    assert wrapper.main_texts(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_wrapper_keeps_texts_where_pages_differ(spark):
@@ -418,7 +503,8 @@ def test_pipeline(spark, docs, tmp_path):
     d = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r["doc_id"]: r for r in d.collect()}
-        d = corpus_pipeline.stored(stage(spark, d, str(tmp_path)), name)
+        stage(spark, d, str(tmp_path)).write.parquet(str(tmp_path / name))
+        d = spark.read.schema(d.schema).parquet(str(tmp_path / name))
         after = d.collect()
         assert d.columns == rows.columns and len(after) == len({r["doc_id"] for r in after}) and {r["doc_id"] for r in after} <= set(before)
         if name == "simhash_near_dedup":

@@ -185,25 +185,48 @@ def test_quality(spark, docs, empty):
     got, want = (x[x.doc_id.notna()][cols].sort_values("doc_id").reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
     assert quality.judge(empty).count() == 0
-    line, own = "this very line stands in many documents of the host " * 6, "words that only one has "
-    many = spark.createDataFrame([(i, f"{line}\nnumber {'i' * i} " + (own * 20 if i == 3 else "")) for i in range(12)], "doc_id long, text string").selectExpr("*", "'h' AS source")
-    assert {r["doc_id"] for r in quality.judge(many, max_docs=5).filter("n_left < n_words").collect()} == set(range(12))
-
-
-def test_toxicity(spark, docs, empty):
-    rng = random.Random(1)
-    vocab = ["".join(rng.choices("abcdefg", k=5)) for _ in range(200)]
-    rows = [(i, " ".join(rng.choices(vocab, k=40) + (["rotten"] * 2 if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(400)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(table, table.select("doc_id", "toxic"))
-    got = toxicity.score(table, model).toPandas().set_index("id").score
-    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert np.mean([(got[i] >= 0.5) == bool(y) for i, y in held]) > 0.95
-    scored = toxicity.score(docs, model).toPandas()
-    assert len(scored) == docs.count() and scored.score.between(0, 1).all()
-    long = "word " * 200_000
-    assert model.scores([long] * 2)[0] == pytest.approx(model.scores([long])[0])
-    assert toxicity.score(empty, toxicity.train(empty, table.select("doc_id", "toxic").filter("false"))).count() == 0
+
+
+def test_depleted_documents_go(spark):
+    """The verdict of the line rule against plain Python: some documents go, most stay."""
+    rng = random.Random(13)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    shared = [f"Line {k} {say(12)}" for k in range(6)]
+    rows = []
+    for k in range(60):
+        lines = rng.sample(shared, rng.choice((0, 0, 1, 4, 6))) + [say(rng.choice((20, 45, 60)))] + [say(9)] * rng.choice((0, 2))
+        lines = [x.upper().replace("LINE", "  line\t") if rng.random() < 0.3 else x for x in lines]
+        rows.append((None if k == 7 else k % 50, "\n".join(lines), rng.choice(("a", "a", "a", "b", None))))
+    rows += [rows[0], rows[0], (99, None, "a"), (98, "", "b")]
+    plain = lambda x: "".join("0" if c.isdigit() else c for c in " ".join(x.lower().split()))
+    hosts = Counter(h for *_, h in rows)
+    held = Counter((h, x) for _, t, h in rows for x in {plain(y) for y in (t or "").split("\n") if y.split()})
+    gone = {k for k, n in held.items() if n > 5 and 100 * n > 10 * hosts[k[0]]}
+    want = []
+    for i, t, h in rows:
+        words = (t or "").split()
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        times = Counter(windows)
+        again = {k + d for k, w in enumerate(windows) if times[w] > 1 for d in range(3)}
+        failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
+        left = sum(len(x.split()) for x in (t or "").split("\n") if (h, plain(x)) not in gone)
+        want.append((i, len(words), len(again), failed, left, not failed and left >= 50 and 2 * left >= len(words)))
+    got = [(r["doc_id"], r["n_words"], r["n_repeat_words"], r["base_failed"], r["n_left"], r["kept"]) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert 3 < sum(not failed and not kept for *_, failed, _, kept in want) < sum(kept for *_, kept in want)
+
+
+def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "_hash", lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(3)))
+    rng = random.Random(14)
+    rows = [(k, " ".join(rng.choices("abcd", k=rng.randint(0, 40))), "h") for k in range(60)]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for k, t, _ in rows:
+        words = t.split()
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        assert got[k] == len({i + d for i, w in enumerate(windows) if windows.count(w) > 1 for d in range(3)})
 
 
 def plain_grams(text):

@@ -97,9 +97,25 @@ def hot_join(rows: DataFrame, by_key: DataFrame, key: str, times: str, total: in
     return salted.join(dealt, [key, "__cl_salt"]).drop("__cl_salt")
 
 
+#: Keys that are broadcast at most (8 bytes each).
+FEW = 1 << 20
+
+
+def chosen(rows: DataFrame, ids: DataFrame, key: str, out: bool = False) -> DataFrame:
+    """The rows whose ``key`` is among ``ids`` (a row for each key), or is not (``out``).
+
+    The keys are counted: up to ``FEW`` are broadcast, so that the rows, which may hold long texts, are not
+    shuffled; more are met by an ordinary join.
+    """
+    ids = ids.select(key)
+    if ids.count() <= FEW:
+        ids = F.broadcast(ids)
+    return rows.join(ids, key, "left_anti" if out else "left_semi")
+
+
 #: Most rows and bytes of one Arrow batch, so that long texts do not swell the Python workers.
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def batches_of(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -118,6 +134,7 @@ def give_back() -> None:
     """Return freed memory to the system, so that an idle Python worker does not hold what its last task took."""
     import pyarrow as pa
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has it
         ctypes.CDLL(None).malloc_trim(0)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import keyed, spread, stored, table
+from corpusloom.llm.common import chosen, keyed, spread, stored, table
 
 #: Fixed character classes: white space between words, and symbols.
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
@@ -119,8 +119,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with their columns as they are; ids may be null or repeat."""
     rows = keyed(docs)
-    fine = judge(rows.withColumn("doc_id", F.col("__cl_row"))).filter("kept").select(F.col("doc_id").alias("__cl_row"))
-    return rows.join(fine, "__cl_row", "left_semi").select(*docs.columns)
+    poor = stored(judge(rows.withColumn("doc_id", F.col("__cl_row"))).filter("NOT kept").select(F.col("doc_id").alias("__cl_row")), "poor")
+    return chosen(rows, poor, "__cl_row", out=True).select(*docs.columns)
 
 
 SQL = """

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import hot_join, keyed, spread, stored, table, texts, tidy
+from corpusloom.llm.common import chosen, hot_join, keyed, spread, stored, table, texts, tidy
 
 MIN_BYTES = 200
 #: Common prefixes are measured up to this length.
@@ -301,11 +301,21 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = np.bincount(bucket)[bucket] > 1
         own = [i for i, r in enumerate(rows) if several[i] or r[2] or r[5] > 1]
         if own:
+            # runs of equal bytes stand in the suffix array once: all their windows are repeats
+            number: dict[tuple, int] = {}
+            same = np.array([number.setdefault((bucket[i], rows[i][5], rows[i][6]), len(number)) for i in own])
+            times = np.bincount(same)
+            members = np.argsort(same, kind="stable")
+            member = np.cumsum(times) - times  # place of each one's first member
+            everyone, own = own, [own[i] for i in members[member]]
             used = [rows[i] for i in own]
             lengths = np.array([len(r[6]) for r in used], np.int64)
             begin = np.cumsum(lengths) - lengths
-            place, groups, cls, hashes = bucket_groups([r[6] for r in used], np.array([r[5] for r in used]), bucket[own])
+            starts = np.array([r[5] for r in used])
+            place, groups, cls, hashes = bucket_groups([r[6] for r in used], starts, bucket[own])
             marks = np.zeros(int(lengths.sum()) + 1, np.int32)
+            np.add.at(marks, begin[times > 1], 1)
+            np.add.at(marks, (begin + starts - 1 + MIN_BYTES)[times > 1], -1)
             if groups:
                 g = np.array(groups)
                 size = g[:, 1] - g[:, 0]
@@ -323,10 +333,14 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = on[lo] > 0
             lo, hi = lo[keep], hi[keep]
             r = np.searchsorted(begin, lo, "right") - 1
+            # the spans of each run that has these bytes
+            each = np.repeat(np.arange(len(r)), times[r])
+            who = members[member[r][each] + np.arange(len(each)) - np.repeat(np.cumsum(times[r]) - times[r], times[r])]
+            all_ids, all_first = (np.array([rows[i][k] for i in everyone], np.int64) for k in (3, 4))
+            none = pa.nulls(len(each), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(all_ids[who]), pa.array(all_first[who] + (lo - begin[r])[each]), pa.array((hi - lo).astype(np.int32)[each]), none, none, pa.nulls(len(each), pa.bool_())], names)
             ids = np.array([u[3] for u in used], np.int64)
             first = np.array([u[4] for u in used], np.int64)
-            none = pa.nulls(len(lo), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(first[r] + lo - begin[r]), pa.array((hi - lo).astype(np.int32)), none, none, pa.nulls(len(lo), pa.bool_())], names)
             cut = np.array([u[2] for u in used])
             if cut.any():
                 r = np.searchsorted(begin, place, "right") - 1
@@ -339,7 +353,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     t = take[c : c + 500_000]
                     # the bucket's number is taken out again: blocks of one bucket must agree
                     plain = hashes[t] ^ (bucket[own][r[t]].astype(np.uint64) * _ODD[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r[t]]), pa.array((first[r] + place - begin[r])[t]), pa.nulls(len(t), pa.int32()), pa.array(keys[r[t]]), pa.array(plain.view(np.int64)), pa.array(cls[t] >= 0)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r[t]]), pa.array((first[r] + place - begin[r])[t]), pa.nulls(len(t), pa.int32()), pa.array(keys[r[t]]), pa.array(plain.view(np.int64)), pa.array((cls[t] >= 0) | (times[r[t]] > 1))], names)
         rows.clear()
         suffixes = 0
 
@@ -402,7 +416,7 @@ def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the union of their spans: (id, n_bytes, n_removed, n_spans, rest)."""
+    """Texts without the union of their spans: (id, n_bytes, n_removed, n_spans, rest, text); text is rest without the characters of which a part is gone."""
     for b in batches:
         out: list[list] = [[], [], [], [], []]
         for k, z, cuts in zip(b["id"].to_pylist(), b["z"].to_pylist(), b["cuts"].to_pylist(), strict=True):
@@ -418,23 +432,24 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append(raw[at:])
             for c, v in zip(out, (k, len(raw), removed, count, b"".join(parts)), strict=True):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "rest"])
+        out.append([x.decode("utf-8", "ignore") for x in out[-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "rest", "text"])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """``(id, n_bytes, n_removed, n_spans, rest binary or null, digest)`` by text.
+    """``(id, n_bytes, n_removed, n_spans, rest binary or null, text, digest)`` by text.
 
     ``rest`` is null where the text is as it was or is gone entirely (n_removed says which).
     """
     digests, kept, found = spans(docs, id_col, text_col, block)
     cuts = found.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
-    changed = kept.join(cuts, "id").mapInArrow(tidy(_cut_out), "id long, n_bytes long, n_removed long, n_spans long, rest binary").drop("n_bytes")
+    changed = kept.join(cuts, "id").mapInArrow(tidy(_cut_out), "id long, n_bytes long, n_removed long, n_spans long, rest binary, text string").drop("n_bytes")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= MIN_BYTES)
     return digests.join(changed, "id", "left").select(
         F.col("own").alias("id"), "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        "rest", "digest",
+        "rest", "text", "digest",
     )
 
 
@@ -473,16 +488,10 @@ def cut(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     docs = keyed(docs)
-    done = without_repeats(docs, "__cl_row").select(F.col("id").alias("__cl_id"), "rest", ((F.col("n_removed") > 0) & F.col("rest").isNull()).alias("__cl_gone")).filter("rest is not null or __cl_gone")
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = [None if x is None else x.decode("utf-8", "ignore") for x in b["rest"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["__cl_id"], b["__cl_gone"], pa.array(text, pa.string())], ["__cl_id", "__cl_gone", "__cl_text"])
-
-    changed = done.mapInArrow(plain, "__cl_id long, __cl_gone boolean, __cl_text string")
-    text = F.when(F.col("__cl_gone"), F.lit("")).otherwise(F.coalesce("__cl_text", "text"))
-    out = docs.join(changed, docs["__cl_row"] == F.col("__cl_id"), "left").withColumn("text", text)
+    done = without_repeats(docs, "__cl_row").filter("n_removed > 0")
+    changed = stored(done.select(F.col("id").alias("__cl_row"), F.coalesce("text", F.lit("")).alias("__cl_text")), "changed")
+    # only the rows that change are shuffled, and without their old texts
+    new = chosen(docs, changed, "__cl_row").drop("text").join(changed, "__cl_row").withColumn("text", F.col("__cl_text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cl_id").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return chosen(docs, changed, "__cl_row", out=True).select(*columns).union(new.select(*columns))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import hot_join, keyed, spread, stored, table, texts, tidy
+from corpusloom.llm.common import chosen, hot_join, keyed, spread, stored, table, texts, tidy
 
 RADIUS = 3
 SHINGLE = 3
@@ -43,10 +43,12 @@ NEAR_SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 32
 BAND_ROWS = 5
-_MULTIPLY = np.random.default_rng(6).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Min-hashes that estimate a pair's similarity; the bands use the first of them.
+SKETCH = 320
+_MULTIPLY = np.random.default_rng(6).integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Part of equal min-hashes under which a pair is not looked at: three standard deviations below 0.8, so one pair in
 #: about 1,000 of those at just 0.8 has less, and far fewer of the more similar ones.
-LIKELY = 0.7
+LIKELY = 0.73
 #: Rows of one key that a task compares with one another, about.
 GROUP = 512
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -263,7 +265,7 @@ def bands(grams: set[bytes]) -> tuple[np.ndarray, bytes]:
     for at in range(0, len(hashes), 512):
         part = hashes[at : at + 512] * _MULTIPLY[:, None]
         least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=1))
-    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    rows = least[: BANDS * BAND_ROWS].astype("<u8").reshape(BANDS, BAND_ROWS)
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64), least.astype(np.uint8).tobytes()
 
 
@@ -281,17 +283,24 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two parts of a key's rows to the pairs of different roots that share ``LIKELY`` of their min-hashes."""
+    """Two parts of a key's rows to the pairs of different roots that share ``LIKELY`` of their min-hashes.
+
+    A pair that shares several keys is put out for the first of them alone.
+    """
 
     def columns(rows) -> list[np.ndarray]:
-        return [rows.field(c).to_numpy() for c in ("id", "fp", "root")] + [np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, len(_MULTIPLY))]
+        sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        return [rows.field(c).to_numpy() for c in ("id", "fp", "root")] + [sketch, rows.field("bands").flatten().to_numpy().reshape(-1, BANDS)]
 
     for b in batches:
-        for left, right in zip(b["x"], b["y"], strict=True):
-            (ids, fps, roots, sketch), (ids2, fps2, roots2, sketch2) = columns(left.values), columns(right.values)
+        for key, left, right in zip(b["key"].to_pylist(), b["x"], b["y"], strict=True):
+            (ids, fps, roots, sketch, keys), (ids2, fps2, roots2, sketch2, keys2) = columns(left.values), columns(right.values)
+            same = np.array_equal(ids, ids2)  # a part with itself: each pair once
             for i in range(len(ids)):
-                j = np.flatnonzero((roots2 != roots[i]) & (ids2 != ids[i]))
-                if (j := j[(sketch2[j] == sketch[i]).mean(axis=1) >= LIKELY]).size:
+                j = np.flatnonzero((roots2 != roots[i]) & (ids2 > ids[i] if same else True))
+                j = j[(sketch2[j] == sketch[i]).mean(axis=1) >= LIKELY]
+                first = (keys2[j] == keys[i]).argmax(axis=1)
+                if (j := j[keys[i][first] == key]).size:
                     less = ids2[j] < ids[i]
                     pair = [np.where(less, ids2[j], ids[i]), np.where(less, ids[i], ids2[j]), np.where(less, fps2[j], fps[i]), np.where(less, fps[i], fps2[j])]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["a", "b", "fa", "fb"])
@@ -313,7 +322,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The links ``(a, b)`` of fingerprints of the pairs that are similar."""
     pairs = stored(pairs.distinct(), "pairs")
-    text = rows.select(F.col("__cl_row").alias("a"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("x"))
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("__cl_row")).distinct(), "ids")
+    text = chosen(rows, ids, "__cl_row").select(F.col("__cl_row").alias("a"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("x"))
     times = pairs.groupBy("a").agg(F.count("*").alias("times"))
     both = pairs.join(text.toDF("b", "y"), "b")
     met = hot_join(both, text.join(times, "a"), "a", "times", pairs.count()).select("a", "x", "y", "fa", "fb")
@@ -327,12 +337,12 @@ def _apart(met: DataFrame, roots: DataFrame, sketches: DataFrame, group: int) ->
     mixed = stored(mixed, "mixed")
     parts = F.ceil(F.col("times") / group).cast("int")
     cut = hot_join(placed, mixed, "key", "times", mixed.agg(F.sum("times")).first()[0] or 0).select("key", "id", "fp", "root", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    rows = cut.join(sketches, "id").groupBy("key", "part", "parts").agg(F.collect_list(F.struct("id", "fp", "root", "sketch")).alias("rows"))
+    rows = cut.join(sketches, "id").groupBy("key", "part", "parts").agg(F.collect_list(F.struct("id", "fp", "root", "sketch", "bands")).alias("rows"))
     rows = stored(rows, "groups")
     # part i meets part j >= i, its own included
     left = rows.select("key", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), F.col("rows").alias("x"))
     right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), F.col("rows").alias("y"))
-    return left.join(right, ["key", "i", "j"]).select("x", "y").mapInArrow(tidy(_likely), "a long, b long, fa long, fb long")
+    return left.join(right, ["key", "i", "j"]).select("key", "x", "y").mapInArrow(tidy(_likely), "a long, b long, fa long, fb long")
 
 
 def leaders(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -351,9 +361,10 @@ def leaders(docs: DataFrame, group: int = GROUP) -> DataFrame:
     met = stored(hot_join(keys, shared, "key", "n", BANDS * fps.count()).select("key", "id", "fp", "first"), "bands")
     star = met.filter(F.col("id") != F.col("first.id")).select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.fp").alias("fa"), F.col("fp").alias("fb"))
     roots = connected(links(fps).union(_verified(star, rows)))
-    more = _verified(_apart(met.drop("first"), roots, fps.select("id", "sketch"), group), rows)
+    more = _verified(_apart(met.drop("first"), roots, fps.select("id", "sketch", "bands"), group), rows)
     roots = connected(roots.toDF("a", "b").union(more))
     least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__cl_row").alias("row"))
     first = fps.join(rows.select("__cl_row", least.alias("least")), fps.id == F.col("__cl_row")).groupBy("fp").agg(F.min("least").alias("least"))
     placed = first.join(roots, first.fp == roots.v, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least"))
-    return rows.join(placed.select(F.col("least.row").alias("__cl_row")), "__cl_row", "left_semi").select(*docs.columns)
+    copies = fps.select(F.col("id").alias("__cl_row")).join(placed.select(F.col("least.row").alias("__cl_row")), "__cl_row", "left_anti")
+    return chosen(rows, stored(copies, "copies"), "__cl_row", out=True).select(*docs.columns)

@@ -350,8 +350,9 @@ def test_pieces(spark, mode):
     if mode == "bpe":
         for r in got:
             assert list(r["ids"]) == library.encode(r["text"] or ""), r["text"]
-    back = coded.join(pieces.decode(coded, pt, "__cl_row"), "__cl_row").collect()
-    assert all(r["decoded"] == r["text"] for r in back) and len(back) == 8
+    back = pieces.decode(coded, pt).collect()
+    assert all(r["decoded"] == (r["text"] or "") for r in back) and len(back) == len(texts)
+    assert [r["decoded"] for r in pieces.decode(spark.createDataFrame([(None,), ([-1, 10**6, None],)], "ids array<int>"), pt).collect()] == ["", ""]
     assert pieces.encode(table.filter("false"), "text", pt, mode).count() == 0
 
 

@@ -541,6 +541,18 @@ def test_pipeline(spark, docs, tmp_path):
     assert set(packed.doc_id) == {r["doc_id"] for r in d.collect()}
 
 
+def test_pipeline_on_an_empty_table_and_without_labels(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None, None), (1, "", "en", "s", 0, "x"), (1, "", "en", "s", 0, "x")])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == 0
+        d = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage in (toxicity.nontoxic(d, spark.read.parquet(str(tmp_path / name / "labels.parquet"))), simhash.leaders(d), suffix.cut(d)):
+            assert stage.columns == d.columns
+            assert stage.count() <= len(rows)
+
+
 def plain_rows(n=4, words=90):
     rng = random.Random(8)
     return [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(words)), "en", "s", 0) for i in range(n)]
@@ -591,6 +603,72 @@ def test_near_copies_of_five_word_shingles_go(spark, group):
     assert got == set(home.values()) and len(got) == 60
 
 
+@pytest.fixture(scope="module")
+def tables_of_sf():
+    con = duckdb.connect()
+    for name in ("documents", "labels", "embeddings", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, tables_of_sf, name):
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), tables_of_sf.execute(queries.ORACLE_SQL[name]).df()
+    cols = sorted(want.columns)
+    got, want = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_queries_without_sql_equal_brute_force(spark, tables_of_sf):
+    docs = [(i, t or "") for i, t in tables_of_sf.execute("SELECT doc_id, text FROM documents").fetchall()]
+    run = lambda name: queries.QUERIES[name](spark, SF).collect()
+
+    got = {r["doc_id"]: r for r in run("op3_toxicity")}
+    assert set(got) == {i for i, _ in docs} and len(got) == len(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for i, r in got.items())
+    toxic = dict(tables_of_sf.execute("SELECT doc_id, toxic FROM labels").fetchall())
+    assert np.mean([got[i]["predicted"] == y for i, y in toxic.items()]) > 0.9
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.tokenizer_path())
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in docs}
+    packed = run("op5_best_fit_packing")
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in packed} == {
+        (i, p): (at, len(part := x[at : at + 2048]), zlib.crc32(np.array(part, "<u4").tobytes())) for i, x in ids.items() for p, at in enumerate(range(0, len(x), 2048))
+    }
+    by = defaultdict(list)
+    for r in packed:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] and sum(n for _, n in x) <= 2048 for x in by.values())
+    assert len(by) <= 1.01 * -(-sum(map(len, ids.values())) // 2048) + 1
+
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in docs}
+    home = {i: i for i in fps}
+    for a in sorted(fps):
+        for b in sorted(fps):
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 3 and home[a] != home[b]:
+                old, new = max(home[a], home[b]), min(home[a], home[b])
+                home = {k: new if v == old else v for k, v in home.items()}
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in run("op6_simhash")} == {i: (f"{fps[i]:016x}", home[i]) for i in fps}
+
+    assert all(r["restored"] for r in run("op7_sentencepiece"))
+
+    want = brute_repeats([(i, t.encode()) for i, t in docs])
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in run("op8_suffix_array")} == {i: (*v[:3], hashlib.sha256(v[3]).hexdigest()) for i, v in want.items()}
+
+    pages = [(i, u, h or "") for i, u, h in tables_of_sf.execute("SELECT page_id, url, html FROM pages").fetchall()]
+    lead = {}
+    for i, _, h in pages:
+        lead[h] = max(i, lead.get(h, i))
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in run("op9_warc")} == {
+        i: (len(h.encode()), warc.digest(h.encode()), *(("response", None) if lead[h] == i else ("revisit", lead[h]))) for i, _, h in pages
+    }
+    texts = {r["page_id"]: r for r in run("op10_html_wrapper")}
+    assert len(texts) == len(pages) and all(texts[i]["url"] == u and texts[i]["n_chars"] == len(texts[i]["text"]) for i, u, _ in pages)
+    assert not any(x in r["text"] for r in texts.values() for x in ("<p>", "</", "&amp;", "track("))
+
+
 def test_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
 

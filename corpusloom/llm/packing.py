@@ -80,6 +80,10 @@ class WordTokenizer:
         self.old: dict[str, bytes] = {}
         self.held = 0
 
+    def forget(self) -> None:
+        """Empty the cache, so that an idle worker does not hold it."""
+        self.young, self.old, self.held = {}, {}, 0
+
     def _parts(self, parts: list[str]) -> list[bytes]:
         """Ids of each part: many are encoded as one text, which falls at the ids that end a word."""
         out: list[bytes] = []
@@ -129,7 +133,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> WordTokenizer:
-    """One tokenizer, and its cache, for all tasks of a Python worker."""
+    """One tokenizer for all tasks of a Python worker."""
     return WordTokenizer(path)
 
 
@@ -151,6 +155,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, i
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tokenizer.forget()
 
     return spread(texts(docs, id_col, text_col)).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -14,8 +14,7 @@ ids up by an equi-join, and each text's ids are put in order.
 edges make. For a model trained by merges (BPE) the library merges pairs by score instead, which gives other
 ids for some words; ``mode="bpe"`` does this with a heap for each word, in Arrow batches.
 
-Decoding: ids are joined to their pieces, bytes put in order, U+2581 turned to spaces, and the leading
-space taken away.
+Decoding: ids become their pieces' bytes, U+2581 a space, and the leading space is taken away.
 
 Null and empty texts have no ids. A literal U+2581 decodes to a space, as in the library. Repeated
 rows get one output row each. An empty table gives an empty result. Columns ``ids`` and ``score`` of the input are
@@ -207,19 +206,21 @@ def encode(rows: DataFrame, text_col: str, pieces: DataFrame, mode: str = "viter
     return out.withColumns({"ids": F.coalesce("ids", F.array().cast("array<int>")), "score": F.coalesce("score", F.lit(0.0))})
 
 
-def decode(rows: DataFrame, pieces: DataFrame, row_col: str = "__cl_row") -> DataFrame:
-    """``(row_col, decoded string)`` from rows with ``ids``; unknown ids are skipped."""
-    each = rows.select(row_col, F.posexplode("ids").alias("at", "piece_id"))
-    met = each.join(F.broadcast(pieces.select("piece_id", F.hex("bytes").alias("hex"))), "piece_id")
-    joined = met.groupBy(row_col).agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "hex")))["hex"], "").alias("hex"))
-    whole = F.decode(F.unhex("hex"), "UTF-8")
-    return joined.select(row_col, F.when(whole.startswith(" "), F.substring(whole, 2, 1 << 30)).otherwise(whole).alias("decoded"))
+def decode(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The rows with ``decoded string`` of their ``ids``; unknown and null ids are skipped, null ids arrays give an empty text.
+
+    The pieces' bytes, as many as the model has, are one constant array by id; no row is shuffled.
+    """
+    known = {r["piece_id"]: r["h"] for r in pieces.select("piece_id", F.hex("bytes").alias("h")).collect()}  # the model's size
+    by_id = F.split(F.lit(",".join(known.get(i) or "" for i in range(max(known, default=0) + 1))), ",")
+    spelled = F.transform("ids", lambda i: F.coalesce(F.get(by_id, i), F.lit("")))
+    whole = F.decode(F.unhex(F.array_join(F.coalesce(spelled, F.array().cast("array<string>")), "")), "UTF-8")
+    return rows.withColumn("decoded", F.when(whole.startswith(" "), F.substring(whole, 2, 1 << 30)).otherwise(whole))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = piece_table(spark)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    coded = stored(encode(rows, "text", pieces), "encoded")
-    back = coded.join(decode(coded, pieces), "__cl_row", "left")
+    back = decode(encode(rows, "text", pieces), pieces)
     text = F.coalesce("text", F.lit(""))
-    return back.select("conv_id", "turn", F.size("ids").cast("long").alias("n_tokens"), "score", F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"), (F.coalesce("decoded", F.lit("")) == text).alias("restored"))
+    return back.select("conv_id", "turn", F.size("ids").cast("long").alias("n_tokens"), "score", F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"), (F.col("decoded") == text).alias("restored"))

@@ -22,9 +22,11 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -42,6 +44,8 @@ GROUP = 2048
 #: full it becomes the old one, whose words are taken over as they are met again.
 CACHE = 32 << 20
 ENTRY = 200
+#: Words that stay from one task to the next; the common ones are met first.
+KEPT = 60_000
 #: Longer words are not kept.
 LONG_WORD = 256
 #: White space of the tokenizer (Unicode White_Space), and what str.split() would split at besides.
@@ -81,15 +85,16 @@ class WordTokenizer:
         self.held = 0
 
     def forget(self) -> None:
-        """Empty the cache, so that an idle worker does not hold it."""
-        self.young, self.old, self.held = {}, {}, 0
+        """Empty the cache but for the words met first, so that an idle worker does not hold it."""
+        first = dict(islice((self.old or self.young).items(), KEPT))
+        self.young, self.old, self.held = first, {}, ENTRY * len(first) + sum(map(len, first)) + sum(map(len, first.values()))
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         """Ids of each part: many are encoded as one text, which falls at the ids that end a word."""
         out: list[bytes] = []
         for lo in range(0, len(parts), 10_000):
             some = parts[lo : lo + 10_000]
-            ids = np.asarray(self.own.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             if len(ends) == len(some):
                 raw = ids.tobytes()
@@ -100,31 +105,42 @@ class WordTokenizer:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if self.held > CACHE:
+            self.young, self.old, self.held = {}, self.young, 0
+        young, old = self.young, self.old
         out: list = [None] * len(batch)
-        split, wanted = {}, set()
+        plain, rows = [], []
         for i, text in enumerate(batch):
             odd = not text.isascii() and any(unicodedata.category(c) == "Cn" or c in "Σİ" for c in set(text))
             if odd or any(s in text for s in self.special) or any(c in text for c in _ODD):
                 out[i] = np.asarray(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            split[i] = words = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
-            wanted.update(words)
-        if self.held > CACHE:
-            self.young, self.old, self.held = {}, self.young, 0
-        young, old = self.young, self.old
-        wanted.difference_update(young)
-        found = {w: old[w] for w in wanted if w in old}
-        wanted.difference_update(found)
+            else:
+                plain.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+                rows.append(i)
+        # words as numbers: the batch's distinct ones alone become Python strings
+        split = pc.utf8_split_whitespace(pa.array(plain, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = {w: old[w] for w in filter(old.__contains__, filterfalse(young.__contains__, words))}
+        young.update(found)
+        missing = list(filterfalse(young.__contains__, words))
         # letters alone are one part
-        parts = {w: self.split.findall(w) for w in wanted if not w.isalpha()}
-        new = list({p for some in parts.values() for p in some if p not in young and p not in found} | {w for w in wanted if w not in parts})
+        parts = {w: self.split.findall(w) for w in missing if not w.isalpha()}
+        new = list({p for some in parts.values() for p in some if p not in young} | {w for w in missing if w not in parts})
         found.update(zip(new, self._parts(new), strict=True))
         young.update(found)
         for w, some in parts.items():
             found[w] = young[w] = b"".join([young[p] for p in some])
-        get = young.__getitem__
-        for i, words in split.items():
-            out[i] = b"".join(map(get, words))
+        known = [young[w] for w in words]
+        # ids of all words in turn, gathered out of those of the distinct ones
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        each = size[codes]
+        end = np.cumsum(each)
+        ids = flat[np.arange(each.sum()) + np.repeat(start[codes] - (end - each), each)]
+        cuts = np.r_[0, end][split.offsets.to_numpy()]
+        for i, lo, hi in zip(rows, cuts[:-1], cuts[1:], strict=True):
+            out[i] = ids[lo:hi].tobytes()
         self.held += ENTRY * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
         for w in [w for w in found if len(w) > LONG_WORD]:
             self.held -= ENTRY + len(w) + len(young.pop(w))

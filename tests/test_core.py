@@ -1,15 +1,18 @@
 import math
+import random
 import zipfile
+from pathlib import Path
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.stopwords import ENGLISH, SPANISH, STOPWORDS
-from corpusloom.operators import analytics, index, search, similarity, suggest, weights
-from corpusloom.plans.catalog import ORACLE_SQL, QUERIES
+from corpusloom.operators import analytics, index, packed, search, similarity, suggest, weights
+from corpusloom.plans.catalog import ORACLE_SQL, QUERIES, _chain
 from corpusloom.sources import io, tables
 from corpusloom.streaming.incremental import index_stream, read_index
 
@@ -247,3 +250,55 @@ def test_oracle(spark, name):
     assert cols == sorted(want.columns)
     got, want = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_packed_tokens():
+    texts = ["", "The Ant's b2b ÁRBOL ñu Ü é × ÷ ÀÇ x yy", "123", "a" * 300 + " b1c2 日本 ant\tant\nÑandú", "é", "Ü1é"]
+    doc, word, distinct = packed.tokens(pa.array(texts))
+    got = [[distinct[w].as_py() for d, w in zip(doc, word, strict=True) if d == k] for k in range(len(texts))]
+    con = duckdb.connect()
+    con.execute("create table documents as select unnest(?) as doc_id, unnest(?) as text", [list(range(len(texts))), texts])
+    want = dict(con.sql(f"WITH {_chain()} SELECT doc_id, terms FROM tok").fetchall())
+    assert got == [want.get(k, []) for k in range(len(texts))]
+
+
+def test_packed_vectors(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices([f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(90)], [1 / (k + 1) for k in range(90)], k=rng.randint(1, 40))) for _ in range(60)]
+    for k in range(40):  # near and exact copies, in other orders and cases
+        words = rng.choice(texts).split()
+        rng.shuffle(words)
+        texts.append(" ".join(words[: max(1, len(words) - k % 4)]).upper())
+    texts += ["", "the", "everywhere" * 3]
+    texts = [f"{t} common" if t != "the" else t for t in texts]
+    docs = index.corpus(spark.createDataFrame([*enumerate(texts), (5, "ant bee"), (6, "wab cat")], "doc_id long, text string"))  # two ids twice
+    monkeypatch.setattr(packed, "CHUNK_BYTES", 500)
+    post = index.postings(docs)
+    members = similarity.classes(post)
+    plain = similarity.representatives(similarity.unit(weights.weights(post, docs)), members)
+    small = packed.pack(docs.repartition(3))
+    key = lambda df, *cols: sorted(map(tuple, df.select(*cols).collect()))
+    assert key(small.members, "doc_id", "class_id", "copies") == key(members, "doc_id", "class_id", "copies")
+    assert key(small.ids, "doc_id") == key(plain.select("doc_id").distinct(), "doc_id")
+    cols = ["doc_id_1", "doc_id_2", F.round("similarity", 9).alias("s")]
+    for threshold in (0.9, 0.5):
+        assert (want := key(similarity.above(plain, threshold), *cols)) and key(similarity.above(small, threshold), *cols) == want
+    assert key(similarity.link_counts(small, small.members), "doc_id", "class_id", "n_links") == key(similarity.link_counts(plain, members), "doc_id", "class_id", "n_links")
+    assert key(similarity.top_similar(small, small.members, 200), "doc_id_1", "doc_id_2", "similarity") == key(similarity.top_similar(plain, members, 200), "doc_id_1", "doc_id_2", "similarity")
+
+
+def test_packed_without_documents(spark):
+    small = packed.pack(index.corpus(spark.createDataFrame([(1, "the"), (2, "")], "doc_id long, text string")))
+    assert small.members.count() == similarity.above(small).count() == similarity.top_similar(small, small.members).count() == 0
+
+
+@pytest.mark.parametrize("name", ["near_duplicates_090", "duplicate_pairs_090", "top_similar_10", "graph_edges", "clusters", "similarity_matrix_dense"])
+def test_few_bytes_stored(spark, name):
+    """Thresholds store less than the index and the vectors by term, which took 3.6 times the input."""
+    folder = Path(tables.shared_dir(spark).removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    tables._known.clear()
+    before = size()
+    QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    stored = (size() - before) / Path("/root/testdata/sf0.01/documents.parquet").stat().st_size
+    assert stored < 1.5

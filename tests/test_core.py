@@ -285,6 +285,7 @@ def test_packed_vectors(spark, monkeypatch):
         assert (want := key(similarity.above(plain, threshold), *cols)) and key(similarity.above(small, threshold), *cols) == want
     assert key(similarity.pairs(small), *cols) == key(similarity.pairs(plain), *cols)
     assert "CartesianProduct" in (plan := similarity.pairs(small)._jdf.queryExecution().executedPlan().toString()) and "Exchange" not in plan  # no product is shuffled
+    assert similarity.matrix(small)._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") == 1  # both halves from one pass
     assert key(similarity.matrix(small), "i", "j", F.round("similarity", 4)) == key(similarity.matrix(plain), "i", "j", F.round("similarity", 4))
     assert key(similarity.link_counts(small, small.members), "doc_id", "class_id", "n_links") == key(similarity.link_counts(plain, members), "doc_id", "class_id", "n_links")
     assert key(similarity.top_similar(small, small.members, 200), "doc_id_1", "doc_id_2", "similarity") == key(similarity.top_similar(plain, members, 200), "doc_id_1", "doc_id_2", "similarity")

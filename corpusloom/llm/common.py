@@ -45,16 +45,27 @@ def sweep(spark: SparkSession) -> None:
     _delete(spark, folder_of(spark))
 
 
+def collect_heaps(spark: SparkSession) -> None:
+    """Collect garbage in each executor: a JVM keeps the heap that its busiest stage took until a full collection.
+
+    A task for each core; while no other job runs, these reach all executors.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 @contextlib.contextmanager
 def scope(spark: SparkSession, name: str) -> Iterator[None]:
     """Delete the intermediate tables of this scope's last use, whose result has been written since, and note those made now.
 
-    Collecting garbage lets Spark delete the shuffles that nothing refers to any more.
+    Collecting garbage lets Spark delete the shuffles that nothing refers to any more, and executors give back what
+    the stage before has taken, which the Python workers of this one may need.
     """
     for path in _left.pop(name, []):
         _delete(spark, path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    collect_heaps(spark)
     _open.append(made := [])
     try:
         yield

@@ -692,3 +692,13 @@ def test_hot_join_splits_a_hot_key_and_loses_nothing(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert by_key.filter(F.col("n") > max(3000 // 1000, SALTS)).count() == 1
     assert hot_join(rows.limit(0), by_key.limit(0), "key", "n", 0).count() == 0
+
+
+def test_a_stage_begins_with_a_collection_in_the_executors(spark):
+    from corpusloom.llm.common import scope
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    with scope(spark, "collected"):
+        assert full() - before >= 2  # the driver's own, and that of the tasks, which have the same JVM here

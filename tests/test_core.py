@@ -4,6 +4,7 @@ import zipfile
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -296,6 +297,39 @@ def test_packed_without_documents(spark):
     assert small.members.count() == similarity.above(small).count() == similarity.top_similar(small, small.members).count() == 0
 
 
+def test_rounded(spark):
+    rng = random.Random(3)
+    values = [0.0, 1.0, 1 - 1e-16, 0.00005, 0.12345, 0.12355, 0.99995, 1.00005, 0.285, 1e-300, 5e-5 - 1e-18, *((2 * rng.randrange(10000) + 1) / 20000 for _ in range(2000)), *(rng.random() for _ in range(2000))]
+    values += [x for v in values[-4000:-2000] for x in (np.nextafter(v, 2).item(), np.nextafter(v, 0).item())]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 4)).collect()]
+    assert packed.rounded(np.array(values), 4).tolist() == want
+
+
+def test_matrix_of_blocks(spark, monkeypatch):
+    """Entries come in both orders and rounded from the tasks, whichever terms are dense and however documents and batches are cut."""
+    rng = random.Random(5)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(120)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(120)], k=rng.randint(1, 30))) for _ in range(80)] + ["alone" * 3, "the", ""]
+    docs = index.corpus(spark.createDataFrame([(997 * k % 83, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    post = index.postings(docs)
+    plain = similarity.representatives(similarity.unit(weights.weights(post, docs)), similarity.classes(post))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(similarity.matrix(plain))
+    assert len(want) > 3000
+    small = packed.pack(docs.repartition(3))
+    plan = similarity.matrix(small)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "round(" not in plan  # by row, both cost more than the pairs
+    a = [{c: row[c][k] for c in row.schema.names} for row in [small.compared().toArrow()] for k in range(row.num_rows)]
+    assert len(a) > 2
+    alone = key(similarity.compared(small).select("doc_id", "doc_id", F.lit(1.0)))
+    for frequent, dense, products, rows in ((1 / 200, 1 << 22, 1 << 18, 1 << 16), (0, 1 << 22, 50, 7), (2, 1 << 22, 50, 1), (0.2, 100, 1, 1000)):
+        for name, value in (("FREQUENT", frequent), ("DENSE", dense), ("PRODUCTS", products), ("PAIR_ROWS", rows)):
+            monkeypatch.setattr(packed, name, value)
+        got = [tuple(r.values()) for x in a for y in a if x["chunk"].as_py() <= y["chunk"].as_py() for b in packed._cell(packed._side(x, small.n, False), packed._side(y, small.n, True), x["chunk"] == y["chunk"], 4, True) for r in b.to_pylist()]
+        assert sorted(got + alone) == want
+    assert key(similarity.matrix(small)) == want
+
+
 @pytest.mark.parametrize("name", ["near_duplicates_090", "duplicate_pairs_090", "top_similar_10", "graph_edges", "clusters", "similarity_matrix_dense"])
 def test_few_bytes_stored(spark, name):
     """Thresholds store less than the index and the vectors by term, which took 3.6 times the input."""

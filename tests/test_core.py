@@ -330,6 +330,19 @@ def test_matrix_of_blocks(spark, monkeypatch):
     assert key(similarity.matrix(small)) == want
 
 
+def test_pairs_are_rounded_in_tasks(spark, monkeypatch):
+    plan = QUERIES["similarity_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "round(" not in plan
+    decoded, side = [], packed._side
+    monkeypatch.setattr(packed, "_side", lambda row, n, by_term: decoded.append((row["chunk"].as_py(), by_term)) or side(row, n, by_term))
+    chunks = packed.pack(index.corpus(spark.createDataFrame(list(enumerate(["ant bee", "ant cat", "bee cat", "dog"])), "doc_id long, text string")).coalesce(1)).compared().toArrow()
+    many = pa.concat_tables([chunks] * 3)
+    rows = [{f"{s}_{c}": (pa.scalar(k + 1, pa.int64()) if c == "chunk" else many[c][0]) for s, k in (("a", i), ("b", j)) for c in many.column_names} for i in range(3) for j in range(i, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[c].as_py() for r in rows], rows[0][c].type) for c in rows[0]], list(rows[0]))
+    assert sum(b.num_rows for b in packed._cells(iter([batch]), 4, 4, False)) == 3 * 3 + 3 * 9  # within a chunk and, each with itself too, across
+    assert sorted(decoded) == [(k, by_term) for k in (1, 2, 3) for by_term in (False, True)]  # each once, not for each pair
+
+
 @pytest.mark.parametrize("name", ["near_duplicates_090", "duplicate_pairs_090", "top_similar_10", "graph_edges", "clusters", "similarity_matrix_dense"])
 def test_few_bytes_stored(spark, name):
     """Thresholds store less than the index and the vectors by term, which took 3.6 times the input."""
